@@ -45,10 +45,9 @@ def repetition_rates(documents: DataFrame, weights: Mapping[str, float] = WEIGHT
     for source, weight in weights.items():
         named = F.when(F.col("source") == source, F.lit(float(weight))).otherwise(named)
     counts = stage(counts.withColumn("weight", named).coalesce(1), "mix-counts")
-    total = counts.agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
-    rates = counts.crossJoin(F.broadcast(total.select(F.col("n").alias("all_n"), F.col("weight").alias("all_weight"))))
-    rate = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight") * F.col("all_n") * F.lit(float(size)) / F.col("n")).otherwise(F.lit(0.0))
-    rates = rates.select("source", rate.alias("rate"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
+    rate = F.col("weight") / F.lit(total["weight"]) * F.lit(float(total["n"])) * F.lit(float(size)) / F.col("n") if total["weight"] > 0 else F.lit(0.0)
+    rates = counts.select("source", rate.alias("rate"))
     upto = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 24).cast("int")
     def step(acc: Column, k: Column) -> Column:
         log_p = acc["log_p"] + F.log(F.col("rate") / k)
