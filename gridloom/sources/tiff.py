@@ -33,7 +33,10 @@ def tags(data: bytes) -> tuple[str, dict[int, tuple]]:
         raise ValueError("not a TIFF file")
     at = struct.unpack(order + "I", data[4:8])[0]
     found = {}
-    for i in range(struct.unpack(order + "H", data[at : at + 2])[0]):
+    count = struct.unpack(order + "H", data[at : at + 2])[0]
+    if len(data) < at + 2 + 12 * count:
+        raise ValueError("the TIFF is cut off")
+    for i in range(count):
         tag, kind, n = struct.unpack(order + "HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
         if kind not in _TYPES:
             continue
