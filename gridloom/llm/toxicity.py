@@ -32,8 +32,9 @@ SIZES = (4, 5, 6)
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 PER_CLASS = 10_000
-FEATURES = 20_000
+FEATURES = 5_000
 LEAST_DOCS = 4
+EVIDENCE = 10.83  # of the log-likelihood ratio: one in a thousand by chance
 THRESHOLD = 0.7
 SLICE = 1 << 20  # code points hashed at once
 
@@ -99,6 +100,16 @@ def log_count_ratios(counts: np.ndarray, n0: int, n1: int, smooth: float = 0.5)
     return np.log((counts[:, 1] + smooth) / (n1 + 2 * smooth)) - np.log((counts[:, 0] + smooth) / (n0 + 2 * smooth))
 
 
+def log_likelihood(counts: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """G squared of each n-gram's presence against the classes."""
+    seen = counts.sum(axis=1).astype(float)
+    out = np.zeros(len(counts))
+    for y, n in ((0, n0), (1, n1)):
+        for observed, expected in ((counts[:, y], seen * n / (n0 + n1)), (n - counts[:, y], (n0 + n1 - seen) * n / (n0 + n1))):
+            out += 2 * observed * np.log(np.maximum(observed, 1e-9) / np.maximum(expected, 1e-9))
+    return out
+
+
 def _logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, weight: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weighted logistic regression on presence times ``scale`` by Nesterov steps with a ridge."""
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -131,11 +142,10 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class
     kind = "block int, salt int, counts binary"
     counts = sum_blocks(sample.select("text", "y").mapInArrow(_count, kind), 2 * SLOTS, _WIDTH).reshape(-1, 2)
     ratio = log_count_ratios(counts, n0, n1)
-    # the ratio's weight of evidence: how far it is from none, in standard errors
-    telling = np.abs(ratio) / np.sqrt(1 / (counts[:, 0] + 0.5) + 1 / (counts[:, 1] + 0.5))
+    telling = log_likelihood(counts, n0, n1)
     telling[counts.sum(axis=1) < LEAST_DOCS] = 0
     chosen = np.argsort(-telling, kind="stable")[:features]
-    chosen = chosen[telling[chosen] > 1.5]
+    chosen = chosen[telling[chosen] > EVIDENCE]
     place = np.full(SLOTS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     shared = spark.sparkContext.broadcast(place)
