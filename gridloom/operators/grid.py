@@ -1,57 +1,63 @@
 """Free-form tiles on a grid: one-dimensional clusters of centers, placement, neighbours.
 
 The gaps are a global order statistic.  They are taken over the distinct coordinates, which a
-map-side aggregation has reduced, and not over the tiles.
+map-side aggregation has reduced, and by ranges (see ``ordering``), so no task sorts them all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import edges, num
+from gridloom.operators import ordering
 
 TOUCH = 1e-3  # of a tile's width or height
 
 
+def _counted(values: DataFrame, value: str) -> DataFrame:
+    """Ordered distinct values with ``n`` and their ``gap`` to the one before."""
+    counted = values.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    return ordering.previous(ordering.ordered(counted, "v"), "v", "before").withColumn("gap", F.col("v") - F.col("before"))
+
+
+def _tolerance(counted: DataFrame) -> DataFrame:
+    least = counted.agg(F.min("gap").alias("gap"), F.max("n").alias("repeats"), F.sum("n").alias("n"))
+    half = F.when(F.col("repeats") > 1, num(0)).otherwise(F.col("gap") * num(0.5))
+    return least.select(F.when(F.coalesce("n", F.lit(0)) < 2, num(1)).otherwise(F.greatest(half, num(1e-9))).alias("tol"))
+
+
 def tolerance(values: DataFrame, value: str = "v") -> DataFrame:
     """One row ``tol``: half the least gap between neighbours in order, at least 1e-9; 1.0 for fewer than two values.
 
     A value that repeats has gap zero.  So a repeat anywhere gives 1e-9, and else the gaps of
     distinct values decide.
     """
-    counted = values.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    gaps = counted.withColumn("gap", F.col("v") - F.lag("v").over(Window.orderBy("v")))
-    least = gaps.agg(F.min("gap").alias("gap"), F.max("n").alias("repeats"), F.sum("n").alias("n"))
-    half = F.when(F.col("repeats") > 1, num(0)).otherwise(F.col("gap") * num(0.5))
-    return least.select(F.when(F.coalesce("n", F.lit(0)) < 2, num(1)).otherwise(F.greatest(half, num(1e-9))).alias("tol"))
+    return _tolerance(_counted(values, value))
 
 
 def clusters(values: DataFrame, value: str = "v") -> DataFrame:
     """``idx, center, n``: runs of values whose gaps are at most the tolerance, in ascending order, with their means."""
-    tol = tolerance(values, value)
-    counted = values.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    order = Window.orderBy("v")
-    opens = F.when(F.col("v") - F.lag("v").over(order) > F.col("tol"), 1).otherwise(0)
-    marked = counted.join(F.broadcast(tol)).select("v", "n", opens.alias("opens"))
-    numbered = marked.select("v", "n", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("idx"))
-    return numbered.groupBy("idx").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("center"), F.sum("n").alias("n"))
+    counted = _counted(values, value)
+    tol = _tolerance(counted).first()["tol"]
+    marked = counted.withColumn("opens", F.when(F.col("gap") > num(tol), 1).otherwise(0))
+    indexed = ordering.running_sum(marked, "opens", "idx")
+    return indexed.groupBy("idx").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("center"), F.sum("n").alias("n"))
 
 
 def nearest(values: DataFrame, centers: DataFrame, value: str, out: str) -> DataFrame:
     """Each distinct value's nearest center (``idx, center``), ties to the lower index: ``value, out``.
 
     Centers in order split the axis at their midpoints, so the nearest one is found by a merge
-    of values and midpoints in one ordered pass, not by comparing all pairs.
+    of values and midpoints in order, not by comparing all pairs.
     """
-    order = Window.orderBy("center")
+    starts = ordering.previous(ordering.ordered(centers.select("center", F.col("idx").cast("long").alias("idx")), "center"), "center", "below")
     # a value up to and including the midpoint below belongs to the center before it
-    starts = centers.select(((F.col("center") + F.lag("center").over(order)) / num(2)).alias("at"), F.col("idx"))
-    marks = starts.select(F.coalesce("at", num(float("-inf"))).alias("at"), F.lit(1).alias("kind"), F.col("idx").cast("long").alias("idx"))
+    marks = starts.select(F.coalesce((F.col("center") + F.col("below")) / num(2), num(float("-inf"))).alias("at"), F.lit(1).alias("kind"), "idx")
     points = values.select(F.col(value).alias("at")).distinct().select("at", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("idx"))
-    merged = Window.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = marks.unionByName(points).withColumn("idx", F.last("idx", ignorenulls=True).over(merged))
-    return found.where("kind = 0").select(F.col("at").alias(value), F.col("idx").alias(out))
+    merged = ordering.ordered(marks.unionByName(points), "at", "kind")
+    found = ordering.running_max(merged, "idx", "found")  # indices rise with the centers
+    return found.where("kind = 0").select(F.col("at").alias(value), F.col("found").alias(out))
 
 
 def place(tiles: DataFrame, lat: str = "center_lat", lon: str = "center_lon") -> DataFrame:
@@ -96,4 +102,5 @@ def neighbours(grid: DataFrame, bounds: str = "bounds") -> DataFrame:
 
 def batches(rows: DataFrame, size: int, *order: str | Column) -> DataFrame:
     """``batch``: number of the row in the given order, over ``size``."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size))
+    numbered = ordering.numbered(ordering.ordered(rows, *order), "__n")
+    return ordering.plain(numbered.withColumn("batch", F.floor(F.col("__n") / size))).drop("__n")

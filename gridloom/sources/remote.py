@@ -237,3 +237,31 @@ def available_products(options: DataFrame) -> DataFrame:
 def ready_downloads(retrieved: DataFrame, requested: DataFrame, seen: DataFrame) -> DataFrame:
     """Downloads that were asked for (new records and duplicates) and aren't handled yet."""
     return retrieved.join(requested.select("downloadId").distinct(), "downloadId", "left_semi").join(seen.select("downloadId"), "downloadId", "left_anti")
+
+
+def await_downloads(client: CatalogueClient, label: str, wanted: set, sleep: Callable[[float], None] = time.sleep, pause: float = 30.0, rounds: int = 1000) -> Iterator[dict]:
+    """Prepared downloads as they come, each once, until all wanted ids are there."""
+    seen: set = set()
+    for _ in range(rounds):
+        for d in client.retrieve(label).get("available", []):
+            if d["downloadId"] in wanted and d["downloadId"] not in seen:
+                seen.add(d["downloadId"])
+                yield d
+        if seen >= wanted:
+            return
+        sleep(pause)
+    raise TimeoutError(f"{len(wanted - seen)} downloads were never prepared")
+
+
+def request_scenes(client: CatalogueClient, dataset: str, entities: list[str], label: str, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
+    """Ask for the available product of each scene and give the downloads as they are prepared."""
+    products = [{"entityId": o["entityId"], "productId": o["id"]} for o in client.options(dataset, entities) if o.get("available")]
+    if not products:
+        return
+    asked = client.request(products, label)
+    wanted = {int(i) for part in ("newRecords", "duplicateProducts") for i in asked.get(part, {})}
+    yield from await_downloads(client, label, wanted, sleep)
+
+
+def published_dates(scenes: DataFrame) -> DataFrame:
+    return scenes.select("publishDate").where("publishDate IS NOT NULL").distinct().orderBy("publishDate")

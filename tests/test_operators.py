@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import chunks, coverage, grid, mosaic, raster, services, spatial_join, windows
+from gridloom.operators import chunks, coverage, grid, mosaic, ordering, polygon, pyramid, raster, services, spatial_join, windows
 from gridloom.operators.components import components
 from gridloom.sources import manifest, remote, scan, scheme, tiff
 
@@ -314,3 +314,54 @@ def test_full_pass_downloads_missing_levels():
     assert full_pass(tiers(18), gather, download) == {17: 17, 18: 18} and loads == [18, 17]
     with pytest.raises(ValueError):
         full_pass([17], gather, download, dimension=1)
+
+
+def test_quads(spark):
+    square = [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0)]
+    diamond = [(1.0, 0.0), (2.0, 1.0), (1.0, 2.0), (0.0, 1.0)]
+    far = [(9.0, 9.0), (9.0, 10.0), (10.0, 10.0), (10.0, 9.0)]
+    rows_ = [(i, [{"lat": a, "lon": b} for a, b in q]) for i, q in enumerate((square, diamond, far))]
+    df = spark.createDataFrame(rows_, "id long, ring array<struct<lat:double,lon:double>>")
+    assert [(r["i"], r["j"], round(r["ratio"], 9)) for r in polygon.quad_pairs(df).collect()] == [(0, 1, 1.0)]
+    assert polygon.shared_area(np.array(square), np.array(diamond)) == 2.0
+    closed = df.where("id = 1").select(polygon.ring_area(F.concat("ring", F.slice("ring", 1, 1))))
+    assert closed.first()[0] == 2.0
+
+
+def test_pyramid(spark):
+    span = pyramid.tile_span(1)
+    image = lambda c: raster.encode_png(np.full((8, 8, 3), c, np.uint8))
+    chunks_ = [(0, 0, -span, 0.0, 0.0, span, image(10)), (0, 1, 0.0, 0.0, span / 2, span, image(20))]
+    df = spark.createDataFrame(chunks_, "row int, col int, xmin double, ymin double, xmax double, ymax double, content binary")
+    for how in ("near", "bilinear"):
+        got = {(r["x"], r["y"]): raster.decode_png(r["content"]) for r in pyramid.pyramid_tiles(df, 1, how, 16).collect()}
+        assert set(got) == {(0, 0), (1, 0)} and got[0, 0][3, 3].tolist() == [10, 10, 10, 255] and got[1, 0][0, [0, 15]].tolist() == [[20, 20, 20, 255], [0, 0, 0, 0]]
+    assert spark.range(1).select(pyramid.flipped(3, F.lit(1))).first()[0] == 6
+
+
+def test_scene_requests():
+    answers = {"download-options": [{"entityId": "a", "id": "p", "available": True}, {"entityId": "b", "id": "q", "available": False}], "download-request": {"newRecords": {"7": "x"}, "duplicateProducts": {}}}
+    rounds = iter([{"available": []}, {"available": [{"downloadId": 7}, {"downloadId": 8}]}])
+
+    def post(url, body, token, timeout):
+        what = url.rsplit("/", 1)[-1]
+        return remote.Response(200, "json", json.dumps({"data": answers.get(what) or next(rounds)}).encode())
+
+    waits = []
+    got = list(remote.request_scenes(remote.CatalogueClient("u", post), "d", ["a", "b"], "l", waits.append))
+    assert got == [{"downloadId": 7}] and waits == [30.0]
+
+
+def test_ordered_statistics_agree_with_a_window(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("v"), (F.col("id") % 3).alias("w"))
+    rows_ = ordering.ordered(df, "v", ranges=5)
+    whole = Window.orderBy("v")
+    want = df.select("v", F.lag("v").over(whole).alias("p"), (F.row_number().over(whole) - 1).cast("long").alias("n"), F.sum("w").over(whole.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    key = lambda r: r[0]
+    found = ordering.running_sum(rows_, "w", "s").select("v", "s")
+    assert rows_.select(ordering.RANGE).distinct().count() > 1
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(((r["v"], r["s"]) for r in want.collect()), key=key)
+    assert sorted(map(tuple, ordering.previous(rows_, "v", "p").select("v", "p").collect()), key=key) == sorted(((r["v"], r["p"]) for r in want.collect()), key=key)
+    assert sorted(map(tuple, ordering.numbered(rows_, "n").select("v", "n").collect()), key=key) == sorted(((r["v"], r["n"]) for r in want.collect()), key=key)
