@@ -31,8 +31,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Ratio → (least width of the fence above the upper quartile, has a lower fence too).
 MARGINS: Mapping[str, tuple[float, bool]] = {
     "symbols_per_word": (0.20, False),
-    "dup_line_share": (0.30, False),
-    "repeat_word_share": (0.25, False),
+    "dup_line_share": (0.40, False),
+    "repeat_word_share": (0.40, False),
     "chars_per_word": (3.0, True),
 }
 FENCE = 4.0  # interquartile ranges
