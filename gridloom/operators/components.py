@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.staging import stage
+from gridloom.staging import discard, stage
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = stage(ordered, "edges")
     before = None
     for _ in range(rounds):
-        edges = stage(_star(_star(edges, small=False), small=True), "stars")
+        last, edges = edges, stage(_star(_star(edges, small=False), small=True), "stars")
+        discard(last)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break

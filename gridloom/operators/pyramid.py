@@ -12,7 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import ORIGIN, TILE_PIXELS, num
-from gridloom.operators.raster import decode_png, encode_png
+from gridloom.operators.raster import SIGNATURE, decode_png, encode_png
+from gridloom.sources import tiff
+
+
+def decode_image(data: bytes) -> np.ndarray:
+    """(height, width, channels) of a PNG or a plain TIFF."""
+    return decode_png(data) if data.startswith(SIGNATURE) else tiff.pixels(data).transpose(1, 2, 0)
 
 
 def tile_span(zoom: int) -> float:
@@ -49,7 +55,7 @@ def _sampled(image: np.ndarray, u: np.ndarray, v: np.ndarray, how: str) -> np.nd
 
 
 def pyramid_tiles(chunks: DataFrame, zoom: int, resampling: str = "bilinear", pixels: int = TILE_PIXELS) -> DataFrame:
-    """``z, x, y, content`` (RGBA PNG, transparent where no chunk reaches) from chunks with ``row, col`` and PNG ``content``."""
+    """``z, x, y, content`` (RGBA PNG, transparent where no chunk reaches) from chunks with ``row, col`` and PNG or TIFF ``content``."""
     if resampling not in ("near", "bilinear"):
         raise ValueError("resampling is near or bilinear")
 
@@ -60,7 +66,7 @@ def pyramid_tiles(chunks: DataFrame, zoom: int, resampling: str = "bilinear", pi
         east, north = np.meshgrid(-ORIGIN + x * span + (np.arange(pixels) + 0.5) * step, ORIGIN - y * span - (np.arange(pixels) + 0.5) * step)
         out, empty = np.zeros((pixels, pixels, 4), np.uint8), np.ones((pixels, pixels), bool)
         for c in frame.sort_values(["row", "col"]).itertuples(index=False):
-            image = decode_png(c.content)
+            image = decode_image(c.content)
             image = np.repeat(image[:, :, :1], 3, axis=2) if image.shape[2] < 3 else image[:, :, :3]
             inside = empty & (east >= c.xmin) & (east < c.xmax) & (north > c.ymin) & (north <= c.ymax)
             if inside.any():

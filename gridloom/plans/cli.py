@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
-from gridloom.operators import chunks, services
+from gridloom.operators import services
 from gridloom.plans import pipelines
 from gridloom.sources import manifest, remote
 
@@ -56,8 +56,12 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--retries", type=int, default=5)
         p.add_argument("--timeout", type=float, default=60)
         p.add_argument("--transport", default="gridloom.sources.remote:http_get")
+        p.add_argument("--chunk_px", type=int, default=256)
         if name == "download-arcgis":
             p.add_argument("--lod", type=int)
+            p.add_argument("--resampling", choices=("near", "bilinear"), default="bilinear")
+            p.add_argument("--tms", action="store_true")
+            p.add_argument("--skip_mosaic", action="store_true")
         else:
             p.add_argument("--resolution", type=float)
             p.add_argument("--padding_deg", type=float, default=0.0)
@@ -84,13 +88,20 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output_dir", required=True)
     p.add_argument("--padding_deg", type=float, default=0.0)
 
-    p = sub.add_parser("process-terrain", help="gather every tier of a downloaded pyramid")
-    p.add_argument("--input_dir", required=True)
+    p = sub.add_parser("process-terrain", help="download imagery, then gather every tier")
+    p.add_argument("--lat", type=float, required=True)
+    p.add_argument("--lon", type=float, required=True)
+    p.add_argument("--view_distance", type=float, default=manifest.DEFAULT_MILES)
     p.add_argument("--output_dir", required=True)
-    p.add_argument("--shape_file", required=True)
-    p.add_argument("--max_lod", type=int, default=18)
+    p.add_argument("--registry", default=REGISTRY)
+    p.add_argument("--service_index", type=int)
+    p.add_argument("--ultra", action="store_true", help="tier 19 as well")
+    p.add_argument("--with_elevation", action="store_true")
+    p.add_argument("--keep_tiles", action="store_true")
     _compose(p, dimension=2)
-    p.add_argument("--elevation_data_dir")
+    p.add_argument("--retries", type=int, default=5)
+    p.add_argument("--timeout", type=float, default=60)
+    p.add_argument("--transport", default="gridloom.sources.remote:http_get")
 
     p = sub.add_parser("split-image", help="cut the images of a manifest in two")
     p.add_argument("--input_dir", required=True)
@@ -144,32 +155,27 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> int:
         os.makedirs(a.output_dir, exist_ok=True)
         pipelines.merge_elevation(spark, a.input_dir, a.shape_file, a.output_dir, a.padding_deg)
     elif a.command == "process-terrain":
-        gather = lambda level: pipelines.import_pyramid(spark, a.input_dir, os.path.join(a.output_dir, str(level)), a.shape_file, a.dimension, a.scale_factor, level, resume=a.resume, elevation_dir=a.elevation_data_dir)
-        pipelines.full_pass(pipelines.tiers(a.max_lod), gather, lambda level: None, a.dimension)
+        registry = manifest.read_registry(spark, a.registry)
+        fetching = {"retries": a.retries, "timeout": a.timeout, "transport": a.transport}
+        pipelines.process_terrain(spark, a.lat, a.lon, a.view_distance, registry, a.output_dir, a.dimension, a.scale_factor, a.ultra, a.with_elevation, a.keep_tiles, a.resume, a.service_index, **fetching)
     elif a.command == "split-image":
         pipelines.split(spark, a.input_dir, a.output_dir, a.axis)
     return 0
 
 
 def download(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Fetch what the ledger lacks; exit 1 if nothing could be fetched."""
-    elevation = a.command == "download-elevation"
-    extra = {"resolution": a.resolution, "padding": a.padding_deg} if elevation else {"level": a.lod}
+    """Fetch what is lacking; 1 if nothing could be fetched."""
     registry = manifest.read_registry(spark, a.registry)
-    service, plan = pipelines.download_plan(spark, a.lat, a.lon, a.view_distance, registry, kind="elevation" if elevation else "imagery", index=a.service_index, **extra)
-    os.makedirs(a.output_dir, exist_ok=True)
-    ledger_path = os.path.join(a.output_dir, "manifest.json")
-    ledger = manifest.read_ledger(spark, ledger_path)
-    left = chunks.remaining(plan, ledger)
-    got = pipelines.stage(remote.fetch_chunks(left, service["base_url"], service["srs"], pixel_type="F32" if elevation else "U8", retries=a.retries, timeout=a.timeout, transport=a.transport), "fetched")
-    from pyspark.sql import functions as F
-
-    name = F.concat(F.lit("chunk_"), F.col("col").cast("string"), F.lit("_"), F.col("row").cast("string"), F.lit(".tif"))
-    pipelines.write_files(got.where("status = 'downloaded'").select(name.alias("name"), "content"), a.output_dir)
-    news = got.select(F.concat_ws("_", F.col("row").cast("string"), F.col("col").cast("string")).alias("key"), "status", F.when(F.col("status") == "downloaded", name).alias("file"))
-    whole = pipelines.stage(chunks.updated(ledger, news), "ledger")
-    manifest.write_document(manifest.ledger_document(whole), ledger_path)
-    return 0 if whole.where("status = 'downloaded'").limit(1).count() else 1
+    fetching = {"retries": a.retries, "timeout": a.timeout, "transport": a.transport}
+    try:
+        if a.command == "download-elevation":
+            pipelines.download_elevation(spark, a.lat, a.lon, a.view_distance, registry, a.output_dir, a.resolution, a.padding_deg, a.service_index, a.chunk_px, **fetching)
+        else:
+            pipelines.download_imagery(spark, a.lat, a.lon, a.view_distance, registry, a.output_dir, a.lod, a.service_index, a.resampling, a.tms, a.skip_mosaic, a.chunk_px, **fetching)
+    except RuntimeError as e:
+        print(e, file=sys.stderr)
+        return 1
+    return 0
 
 
 def refresh(spark: SparkSession, scan_list: str, registry: str, transport: str) -> None:

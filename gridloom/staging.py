@@ -34,16 +34,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/gridloom-stage/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_path = path
+    return staged
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    path = staged._staged_path
+    _delete(path, _written.pop(path))
 
 
 def release() -> None:
     """Delete what this process staged; results that still read a staged table end with it."""
     while _written:
-        path, spark = _written.popitem()
         try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(*_written.popitem())
         except Exception:  # the session is gone: its folder is cleaned with the cluster
             return
 

@@ -365,3 +365,35 @@ def test_ordered_statistics_agree_with_a_window(spark):
     assert sorted(map(tuple, found.collect()), key=key) == sorted(((r["v"], r["s"]) for r in want.collect()), key=key)
     assert sorted(map(tuple, ordering.previous(rows_, "v", "p").select("v", "p").collect()), key=key) == sorted(((r["v"], r["p"]) for r in want.collect()), key=key)
     assert sorted(map(tuple, ordering.numbered(rows_, "n").select("v", "n").collect()), key=key) == sorted(((r["v"], r["n"]) for r in want.collect()), key=key)
+
+
+def test_download_resume_and_pyramid(spark, tmp_path):
+    from gridloom.plans import cli, pipelines
+
+    (tmp_path / "scan.json").write_text('["https://h/rest/services/a/ImageServer"]')
+    cli.refresh(spark, str(tmp_path / "scan.json"), str(tmp_path / "registry.json"), "tests.stub_service:get")
+    registry = manifest.read_registry(spark, str(tmp_path / "registry.json"))
+    assert registry.first()["key"] == "h__rest__services__a__ImageServer" and registry.first()["native_pixel_size_m"] == 0.3
+    out, stub = str(tmp_path / "out"), {"transport": "tests.stub_service:get", "timeout": 1}
+    ledger = pipelines.download_imagery(spark, 39.2, -82.2, 0.2, registry, out, 16, skip_mosaic=True, **stub)
+    n = ledger.count()
+    assert n > 0 and ledger.where("status = 'downloaded'").count() == n
+    folder = tmp_path / "out" / "chunks_16"
+    first = sorted(folder.glob("chunk_*.tif"))[0]
+    first.write_bytes(b"damaged")
+    stamps = {p.name: p.stat().st_mtime_ns for p in folder.glob("chunk_*.tif")}
+    pipelines.download_imagery(spark, 39.2, -82.2, 0.2, registry, out, 16, **stub)
+    assert not folder.exists() and len(stamps) == n
+    tiles = scan.xyz_tiles(spark, out)
+    assert tiles.count() > 0 and {r["level"] for r in tiles.collect()} == {16}
+    heights = pipelines.download_elevation(spark, 39.2, -82.2, 0.1, registry.withColumn("kinds", F.array(F.lit("elevation"))), str(tmp_path / "h"), resolution=5.0, **stub)
+    assert heights.where("status = 'downloaded'").count() == heights.count() > 0
+
+
+def test_command_line(tmp_path, capsys):
+    from gridloom.plans import cli
+
+    assert cli.main(["create-bounds", "--lat", "1", "--lon", "2", "--output", str(tmp_path / "s.json")]) == 0
+    assert json.loads((tmp_path / "s.json").read_text())["center"]["x"] == 2.0
+    assert cli.main([]) == 0 and "gather-ortho" in capsys.readouterr().out
+    assert len(cli.parser()._subparsers._group_actions[0].choices) == 10
