@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gridloom.llm.batches import in_text_batches
+
 LONG = 1 << 15  # characters from which a text or a part of one is cut
 LEAF = 1 << 11
 WINDOW = 4  # tokens on either side of a join at first
@@ -186,7 +188,7 @@ def encode_documents(documents: DataFrame, path: str | None = None, keep_text: b
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *(f.name for f in added)])
 
-    return rows.mapInArrow(encoded, T.StructType([*(rows.schema[c] for c in kept), *added]))
+    return in_text_batches(rows).mapInArrow(encoded, T.StructType([*(rows.schema[c] for c in kept), *added]))
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

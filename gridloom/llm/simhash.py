@@ -27,9 +27,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.batches import in_text_batches
 from gridloom.operators.components import components
 from gridloom.staging import stage
 
@@ -85,7 +86,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 def _prints_of(keyed: DataFrame) -> DataFrame:
     """``doc_id, h, fp``, with ``h`` the rows' ``__h``."""
     rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__h").alias("h"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, h long, fp long")
+    return in_text_batches(rows).mapInArrow(_fingerprints, "doc_id long, h long, fp long")
 
 
 def _masks() -> list[int]:
@@ -261,21 +262,23 @@ def near_duplicates(documents: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Dat
 def near_dedup(documents: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The documents without near-duplicates: of each group the row of the smallest ``doc_id`` stays.
 
-    If that id has several rows in the group, the one of the smallest text hash stays, and of
-    rows that repeat its text the first by their other columns.  A group without any id keeps
-    one row as well.
+    If that id has several rows in the group, the one of the smallest hash of all columns stays.
+    A group without any id keeps one row as well.  Rows are chosen by narrow columns alone; the
+    whole rows are shuffled once, for a hash join that keeps the chosen ones, and need no sort.
     """
-    keyed = documents.withColumn("__h", F.xxhash64("text"))
+    plain = [f.name for f in documents.schema if "map<" not in f.dataType.simpleString()]  # maps can't be hashed
+    keyed = documents.withColumn("__h", F.xxhash64(*plain))
     prints = stage(_prints_of(keyed), "simhash-prints")
     named = prints.join(_groups(prints.select("doc_id", "fp"), bucket_rows), "fp")
     # groups are told apart by their id; those without one by their fingerprint
     group = (F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")))
-    firsts = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(group[0].alias("__id"), group[1].alias("__fp")).agg(F.min("h").alias("__h"))
-    firsts = stage(firsts.select("__id", "__h").distinct(), "simhash-kept")
-    kept = keyed.join(firsts.withColumnRenamed("__h", "__kept"), keyed["doc_id"].eqNullSafe(F.col("__id")) & (keyed["__h"] == F.col("__kept")), "left_semi")
-    others = [F.col(c) for c in documents.columns if c not in ("doc_id", "text")]
-    first = Window.partitionBy("doc_id", "__h").orderBy(*(others or [F.lit(0)]))
-    return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*documents.columns)
+    firsts = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(group[0].alias("__id"), group[1].alias("__fp")).agg(F.min("h").alias("__kept"))
+    firsts = stage(firsts.select("__id", "__kept").distinct(), "simhash-kept")
+    same = keyed["doc_id"].eqNullSafe(F.col("__id")) & (keyed["__h"] == F.col("__kept"))
+    kept = keyed.join(firsts.hint("shuffle_hash"), same, "left_semi").select(*documents.columns)
+    # only rows that are equal in all columns are left to fold
+    repeats = prints.groupBy("doc_id", "h").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(plain) if repeats else kept
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gridloom.llm.batches import in_text_batches
 from gridloom.llm.bpe import TreeEncoder, encoder, vocabulary
 
 LIMIT = 1024
@@ -208,7 +209,7 @@ def token_counts(documents: DataFrame, path: str | None = None, limit: int = LIM
             columns = [*(batch.column(c) for c in kept), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])]
             yield pa.RecordBatch.from_arrays(columns, [*kept, *(f.name for f in added)])
 
-    return rows.mapInArrow(counted, T.StructType([*(rows.schema[c] for c in kept), *added]))
+    return in_text_batches(rows).mapInArrow(counted, T.StructType([*(rows.schema[c] for c in kept), *added]))
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
