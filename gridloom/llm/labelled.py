@@ -17,28 +17,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int, name: str) -> DataFrame:
-    """``doc_id, text, y``: staged training documents, at most ``per_class`` labelled ids of each class.
+def lowest_hashes(rows: DataFrame, most: int, total: int, *columns: Column | str) -> DataFrame:
+    """The ``most`` rows (about) of lowest hash among ``total``.
 
-    Ids come by the lowest hash, from the folds that may be learned from; an id with both labels
-    counts as 1.  The ids, of which there are ``2 * per_class`` at most, are broadcast, so texts
-    are filtered in the scan's stage and not shuffled.
+    A bound on the hash leaves about twice as many before they are sorted, so what meets in one
+    task does not grow with the input.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    order = (F.xxhash64(F.lit(name), "doc_id"), F.col("doc_id"))
-    ids = known.where("y = 0").orderBy(*order).limit(per_class).unionByName(known.where("y = 1").orderBy(*order).limit(per_class))
-    ids = stage(ids.coalesce(1), f"{name}-ids")
-    sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    return stage(sample.select("doc_id", "text", "y"), f"{name}-sample")
+    place = F.pmod(F.xxhash64(*columns), F.lit(1 << 40))
+    if total > 2 * most:
+        rows = rows.where(place < int(2 * most / total * (1 << 40)))
+    return rows.orderBy(place, *(c for c in columns if isinstance(c, str))).limit(most)
+
 
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int, name: str) -> tuple[DataFrame, int, int]:
+    """(``doc_id, text, y``, ids of class 0, ids of class 1): staged training documents and the labels' totals.
 
-def class_sizes(labels: DataFrame, label: str) -> tuple[int, int]:
-    """Labelled ids of class 0 and 1 over all rows that may be learned from."""
+    At most ``per_class`` ids of each class are taken, by the lowest hash, from the folds that may
+    be learned from; an id with both labels counts as 1.  The sampled ids, ``2 * per_class`` at
+    most, are broadcast, so texts are filtered in the scan's stage and not shuffled.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max(label).alias("y"))
-    r = known.agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")).first()
-    return r["n0"], r["n1"]
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    totals = known.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
+    parts = [lowest_hashes(known.where(F.col("y") == y), per_class, totals[y], F.lit(name), "doc_id") for y in (0, 1)]
+    ids = stage(parts[0].unionByName(parts[1]).coalesce(1), f"{name}-ids")
+    sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    return stage(sample.select("doc_id", "text", "y"), f"{name}-sample"), totals[0], totals[1]
 
 
 _BLOCK = pa.schema([("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.labelled import class_sizes, emit_blocks, held_out, labelled_sample, sum_blocks
+from gridloom.llm.batches import in_text_batches
+from gridloom.llm.labelled import emit_blocks, held_out, labelled_sample, sum_blocks
 
 WORDS = 1 << 14
 DIMENSIONS = 32
@@ -154,7 +155,7 @@ class WordVectors:
 
 def word_vectors(documents: DataFrame) -> WordVectors:
     """From all documents; a task sends one table of fixed size, and tables are summed on the way."""
-    blocks = documents.select("text").mapInArrow(_contexts, "block int, salt int, counts binary")
+    blocks = in_text_batches(documents.select("text")).mapInArrow(_contexts, "block int, salt int, counts binary")
     return WordVectors.of(sum_blocks(blocks, WORDS * (DIMENSIONS + 1), _WIDTH))
 
 
@@ -233,8 +234,8 @@ class QualityModel:
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> QualityModel:
-    sample = labelled_sample(documents, labels, label, per_class, "quality")
-    all0, all1 = class_sizes(labels, label)
+    sample, all0, all1 = labelled_sample(documents, labels, label, per_class, "quality")
+    in_text_batches(sample)
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return QualityModel(constant=(all1 + 1) / (all0 + all1 + 2))
@@ -265,7 +266,7 @@ def score_documents(documents: DataFrame, model: QualityModel, threshold: float
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
     added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return rows.mapInArrow(scored, T.StructType([*(rows.schema[c] for c in kept), *added]))
+    return in_text_batches(rows).mapInArrow(scored, T.StructType([*(rows.schema[c] for c in kept), *added]))
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.labelled import class_sizes, emit_blocks, held_out, labelled_sample, sum_blocks
+from gridloom.llm.batches import in_text_batches
+from gridloom.llm.labelled import emit_blocks, held_out, labelled_sample, sum_blocks
 from gridloom.staging import stage
 
 SIZES = (4, 5, 6)
@@ -132,8 +133,8 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, weight:
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, features: int = FEATURES) -> ToxicityModel:
     spark = documents.sparkSession
-    sample = labelled_sample(documents, labels, label, per_class, "toxicity")
-    all0, all1 = class_sizes(labels, label)
+    sample, all0, all1 = labelled_sample(documents, labels, label, per_class, "toxicity")
+    in_text_batches(sample)
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
@@ -183,7 +184,7 @@ def score_documents(documents: DataFrame, model: ToxicityModel, threshold: float
     from pyspark.sql import types as T
 
     schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return rows.mapInArrow(scored, schema)
+    return in_text_batches(rows).mapInArrow(scored, schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

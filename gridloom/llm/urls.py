@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.labelled import lowest_hashes
 from gridloom.staging import stage
 
 #: The production rule list, (action, host suffix + path prefix).
@@ -178,12 +179,14 @@ def fit(labelled: DataFrame, trees: int = 8, depth: int = 3, rate: float = 0.4,
     """Boosted trees with logistic loss from ``labelled`` (``url``, ``y`` = 1 for block).
 
     Suffix statistics cover every labelled row; the trees see the ``sample_rows`` rows of
-    lowest URL hash.  Each level is one aggregation into (leaf, feature, bin) histograms, of
+    lowest hash of ``key`` (a hash of the whole row, so that a repeated URL is not taken or
+    left as a whole), or of the URL where there is none.  Each level is one aggregation into (leaf, feature, bin) histograms, of
     which at most ``2**depth * features * bins`` rows reach the driver.
     """
-    labelled = labelled.select(F.col("url").alias("__url"), host_of(F.col("url")).alias("host"), F.col("y").cast("double").alias("y"))
+    key = F.col("key") if "key" in labelled.columns else F.xxhash64("url")
+    labelled = labelled.select(F.col("url").alias("__url"), host_of(F.col("url")).alias("host"), F.col("y").cast("double").alias("y"), key.alias("__key"))
     suffixes = stage(suffix_statistics(labelled), "url-suffixes")
-    sample = labelled.orderBy(F.xxhash64("__url"), "__url").limit(sample_rows)
+    sample = lowest_hashes(labelled, sample_rows, labelled.count(), "__key")
     featured = _with_features(sample, suffixes, 0.5)
     names = [c for c in featured.columns if c.startswith("__f_")]
     sample = stage(featured.select(*names, "y").coalesce(1), "url-sample")
@@ -247,7 +250,9 @@ def with_verdict(df: DataFrame, url: str = "url", rules: Sequence[tuple[str, str
     named = named.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules))
     if model is None:
         labelled = named.where(F.col("rule").isNotNull())
-        model = fit(labelled.select("__url", (rule_action(F.col("rule"), rules) == "block").cast("int").alias("y")).withColumnRenamed("__url", "url"))
+        plain = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]  # maps can't be hashed
+        keyed = labelled.withColumn("key", F.xxhash64(*(c for c in plain if c in labelled.columns)))
+        model = fit(keyed.select(F.col("__url").alias("url"), (rule_action(F.col("rule"), rules) == "block").cast("int").alias("y"), "key"))
     judged = _with_features(named, model.suffixes, model.prior).withColumn("block_score", model.probability())
     verdict = F.coalesce(rule_action(F.col("rule"), rules), F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
     judged = judged.withColumn("verdict", verdict)
