@@ -142,3 +142,25 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text")
     judged = judge(measure(documents).drop("text"))
     return judged.select("doc_id", *COUNTS, "base_failed", "kept")
+
+
+#: Exact quantiles: the sketch's are exact as well while a group has fewer rows than its accuracy.
+ORACLE_OP3 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
+again AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, range(3) r(k) GROUP BY rid),
+m AS (SELECT w.*, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(string_split(t, chr(10))) AS n_lines FROM w LEFT JOIN covered USING (rid)),
+r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS a, n_dup_lines / greatest(n_lines, 1) AS b,
+  n_repeat_words / greatest(n_words, 1) AS c, word_chars / greatest(n_words, 1) AS e FROM m),
+q AS (SELECT lang, source, quantile_disc(a, 0.25) AS a1, quantile_disc(a, 0.75) AS a3, quantile_disc(b, 0.25) AS b1, quantile_disc(b, 0.75) AS b3,
+  quantile_disc(c, 0.25) AS c1, quantile_disc(c, 0.75) AS c3, quantile_disc(e, 0.25) AS e1, quantile_disc(e, 0.75) AS e3 FROM r GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND a <= a3 + greatest((a3 - a1) * 4.0::DOUBLE, 0.2::DOUBLE) AND b <= b3 + greatest((b3 - b1) * 4.0::DOUBLE, 0.4::DOUBLE)
+  AND c <= c3 + greatest((c3 - c1) * 4.0::DOUBLE, 0.4::DOUBLE) AND e <= e3 + greatest((e3 - e1) * 4.0::DOUBLE, 3.0::DOUBLE) AND e >= e1 - greatest((e3 - e1) * 4.0::DOUBLE, 3.0::DOUBLE) AS kept
+FROM r JOIN q USING (lang, source)
+"""

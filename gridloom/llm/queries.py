@@ -4,7 +4,7 @@ from gridloom.llm.bpe import op7_bpe
 from gridloom.llm.chat import ORACLE_OP9, op9_chat_formatting
 from gridloom.llm.mixing import ORACLE_OP2, op2_mixing
 from gridloom.llm.quality_model import op5_quality_classifier
-from gridloom.llm.quality_rules import op3_quality_rules
+from gridloom.llm.quality_rules import ORACLE_OP3, op3_quality_rules
 from gridloom.llm.simhash import op4_simhash_near_dedup
 from gridloom.llm.token_counts import op8_token_counts
 from gridloom.llm.toxicity import op10_toxicity
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES = {"op2_mixing": ORACLE_OP2, "op6_exact_top_k": ORACLE_OP6, "op9_chat_formatting": ORACLE_OP9}
+ORACLES = {"op2_mixing": ORACLE_OP2, "op3_quality_rules": ORACLE_OP3, "op6_exact_top_k": ORACLE_OP6, "op9_chat_formatting": ORACLE_OP9}
