@@ -15,10 +15,10 @@ from gridloom.operators import ordering
 TOUCH = 1e-3  # of a tile's width or height
 
 
-def _counted(values: DataFrame, value: str) -> DataFrame:
+def _counted(values: DataFrame, value: str) -> ordering.Ordered:
     """Ordered distinct values with ``n`` and their ``gap`` to the one before."""
     counted = values.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    return ordering.previous(ordering.ordered(counted, "v"), "v", "before").withColumn("gap", F.col("v") - F.col("before"))
+    return ordering.ordered(counted, "v").previous("v", "before").with_column("gap", F.col("v") - F.col("before"))
 
 
 def _tolerance(counted: DataFrame) -> DataFrame:
@@ -33,15 +33,14 @@ def tolerance(values: DataFrame, value: str = "v") -> DataFrame:
     A value that repeats has gap zero.  So a repeat anywhere gives 1e-9, and else the gaps of
     distinct values decide.
     """
-    return _tolerance(_counted(values, value))
+    return _tolerance(_counted(values, value).rows())
 
 
 def clusters(values: DataFrame, value: str = "v") -> DataFrame:
     """``idx, center, n``: runs of values whose gaps are at most the tolerance, in ascending order, with their means."""
     counted = _counted(values, value)
-    tol = _tolerance(counted).first()["tol"]
-    marked = counted.withColumn("opens", F.when(F.col("gap") > num(tol), 1).otherwise(0))
-    indexed = ordering.running_sum(marked, "opens", "idx")
+    tol = _tolerance(counted.rows()).first()["tol"]
+    indexed = counted.with_column("opens", F.when(F.col("gap") > num(tol), 1).otherwise(0)).running_sum("opens", "idx").rows()
     return indexed.groupBy("idx").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("center"), F.sum("n").alias("n"))
 
 
@@ -51,12 +50,12 @@ def nearest(values: DataFrame, centers: DataFrame, value: str, out: str) -> Data
     Centers in order split the axis at their midpoints, so the nearest one is found by a merge
     of values and midpoints in order, not by comparing all pairs.
     """
-    starts = ordering.previous(ordering.ordered(centers.select("center", F.col("idx").cast("long").alias("idx")), "center"), "center", "below")
+    starts = ordering.ordered(centers.select("center", F.col("idx").cast("long").alias("idx")), "center").previous("center", "below").rows()
     # a value up to and including the midpoint below belongs to the center before it
     marks = starts.select(F.coalesce((F.col("center") + F.col("below")) / num(2), num(float("-inf"))).alias("at"), F.lit(1).alias("kind"), "idx")
     points = values.select(F.col(value).alias("at")).distinct().select("at", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("idx"))
-    merged = ordering.ordered(marks.unionByName(points), "at", "kind")
-    found = ordering.running_max(merged, "idx", "found")  # indices rise with the centers
+    # indices rise with the centers, so the last one met is the largest
+    found = ordering.ordered(marks.unionByName(points), "at", "kind").running_max("idx", "found").rows()
     return found.where("kind = 0").select(F.col("at").alias(value), F.col("found").alias(out))
 
 
@@ -102,5 +101,5 @@ def neighbours(grid: DataFrame, bounds: str = "bounds") -> DataFrame:
 
 def batches(rows: DataFrame, size: int, *order: str | Column) -> DataFrame:
     """``batch``: number of the row in the given order, over ``size``."""
-    numbered = ordering.numbered(ordering.ordered(rows, *order), "__n")
-    return ordering.plain(numbered.withColumn("batch", F.floor(F.col("__n") / size))).drop("__n")
+    numbered = ordering.ordered(rows, *order).numbered("__n").rows()
+    return numbered.withColumn("batch", F.floor(F.col("__n") / size)).drop("__n")
