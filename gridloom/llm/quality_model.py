@@ -48,9 +48,9 @@ _SHAPES = ("<upper>", "<title>", "<long>")
 
 
 class _Slots(dict):
-    """Word → slots of the word and of its case."""
+    """Word → slots of the word and of its case, as 16-bit numbers in bytes."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         slot = lambda w: xxhash.xxh64_intdigest(w.encode(), 5) % WORDS
         out = [slot(word.lower())]
         if len(word) > 1 and word.isupper():
@@ -61,8 +61,8 @@ class _Slots(dict):
             out.append(slot(_SHAPES[2]))
         if len(self) >= CACHED:
             self.clear()
-        self[word] = tuple(out)
-        return self[word]
+        self[word] = packed = np.array(out, np.int16).tobytes()
+        return packed
 
 
 _slots = _Slots()
@@ -73,8 +73,7 @@ def slots_of(text: str | None) -> Iterator[np.ndarray]:
     if not text:
         return
     for i in range(0, len(text), SLICE):
-        found = [s for w in map(_slots.__getitem__, _WORD.findall(text[i : i + SLICE])) for s in w]
-        yield np.array(found, np.int64)
+        yield np.frombuffer(b"".join(map(_slots.__getitem__, _WORD.findall(text[i : i + SLICE]))), np.int16).astype(np.int64)
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
