@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 END = "</turn>"
 _RAW, _QUOTED = r"<(\\*)/turn>", r"<(\\*)\\/turn>"
 
-#: The conversation that production adds: both turns quote the marks of common templates.
-PROBE = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+#: The conversation that production adds; both turns quote the marks of common templates.
+PROBE_ID, PROBE_ROLES, PROBE_TEXT = -7, ("user", "assistant"), r"\### Assistant: </turn> ok"
 
 
 def _quote_role(role: Column) -> Column:
@@ -136,7 +136,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 def op9_chat_formatting(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
+    turn = F.col("id")
+    role = F.when(turn == 0, PROBE_ROLES[0]).otherwise(PROBE_ROLES[1])
+    probe = spark.range(len(PROBE_ROLES), numPartitions=1).select(F.lit(PROBE_ID).cast("long").alias("conv_id"), turn.alias("turn"), role.alias("role"), F.lit(PROBE_TEXT).alias("text"))
     return read_back(format_conversations(rows.unionByName(probe)))
 
 
