@@ -14,7 +14,8 @@ from gridloom.operators import chunks, coverage, grid, mosaic, raster, services,
 from gridloom.plans import derived as d
 from gridloom.plans.pipelines import scene_representatives
 from gridloom.sources import manifest, scan
-from gridloom.staging import shared_dir
+from gridloom.staging import claim
+from gridloom.streaming.ingest import current_ledger, ingest_rows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -674,12 +675,8 @@ def png_roundtrip(spark, sf_dir):
 @query("chunk_stream_available_now")
 def chunk_stream_available_now(spark, sf_dir):
     """Status rows as a stream, drained twice: the second run adds nothing."""
-    from uuid import uuid4
-
-    from gridloom.streaming.ingest import current_ledger, ingest_rows
-
     events = d.table(spark, sf_dir, "events").select(F.concat((F.col("event_id") % 97).cast("string"), F.lit("_0")).alias("key"), F.when(F.col("event_type") == "click", "downloaded").otherwise("failed").alias("status"), F.lit("f").alias("file"))
-    base = f"{shared_dir(spark).rstrip('/')}/gridloom-stream/{uuid4().hex}"
+    base = claim(spark, "stream")
     events.repartition(4).write.parquet(f"{base}/in")
     for _ in range(2):
         ingest_rows(spark, "key string, status string, file string", f"{base}/in", f"{base}/ledger", f"{base}/checkpoint", 2).awaitTermination()

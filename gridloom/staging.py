@@ -28,12 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+def claim(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/gridloom-stage/{uuid.uuid4().hex}-{name}"
+    _written[path] = spark
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return it read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/gridloom-stage/{uuid.uuid4().hex}-{name}"
+    path = claim(spark, name)
     df.write.parquet(path)
-    _written[path] = spark
     staged = spark.read.schema(df.schema).parquet(path)
     staged._staged_path = path
     return staged
