@@ -3,8 +3,10 @@
 A bare overlap predicate plans as a nested-loop join over all pairs.  Here each box goes to
 the cells it lies in, boxes meet in equal cells, and a pair counts only in the cell that holds
 the lower-left corner of its common part, so no pair is made twice and no distinct is needed.
-Cells are about as large as an average box, by default, so a box has few of them; AQE splits
-cells that hold very many boxes.
+
+Cells of the lowest level are about as large as an average box.  A larger box lives on a level
+whose cells are at least its size, so any box lies in four cells at most; smaller boxes visit it
+there, on each level that has boxes.  AQE splits cells that hold very many.
 """
 
 from __future__ import annotations
@@ -27,16 +29,26 @@ def cell_size(*boxes: DataFrame) -> float:
     return 2 * max([s for s in sizes if s] or [0.5])
 
 
-def _cell(value: Column, size: float) -> Column:
-    return F.floor(value / F.lit(float(size))).cast("long")
+def _cell(value: Column, size: Column) -> Column:
+    return F.floor(value / size).cast("long")
+
+
+def _size(size: float, level: Column) -> Column:
+    return F.lit(float(size)) * F.pow(F.lit(2.0), level)
+
+
+def _own_level(size: float) -> Column:
+    """The level of a box by its larger extent: cells there are no smaller."""
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    return F.greatest(F.ceil(F.log2(F.greatest(extent, F.lit(float(size))) / F.lit(float(size)))), F.lit(0)).cast("int")
 
 
-def _celled(boxes: DataFrame, size: float, prefix: str) -> DataFrame:
-    named = boxes.select(*(F.col(c).alias(f"{prefix}{c}") for c in boxes.columns))
-    edge = lambda k: _cell(F.col(f"{prefix}{k}"), size)
-    across = F.explode(F.sequence(edge("x0"), edge("x1")))
-    up = F.explode(F.sequence(edge("y0"), edge("y1")))
-    return named.withColumn("cell_x", across).withColumn("cell_y", up)
+def _celled(boxes: DataFrame, size: float, prefix: str, levels: Column) -> DataFrame:
+    """A row for each cell of the box on each of the levels."""
+    named = boxes.select("own_level", *(F.col(c).alias(f"{prefix}{c}") for c in boxes.columns if c != "own_level"))
+    on_level = named.withColumn("level", F.explode(levels)).drop("own_level")
+    edge = lambda k: _cell(F.col(f"{prefix}{k}"), _size(size, F.col("level")))
+    return on_level.withColumn("cell_x", F.explode(F.sequence(edge("x0"), edge("x1")))).withColumn("cell_y", F.explode(F.sequence(edge("y0"), edge("y1"))))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, predicate: Callable[[Box, Box], Column], size: float | None = None) -> DataFrame:
@@ -47,10 +59,22 @@ def overlap_join(left: DataFrame, right: DataFrame, predicate: Callable[[Box, Bo
     proper = lambda df: df.where((F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1")))
     left, right = proper(left), proper(right)
     size = size or cell_size(left, right)
+    left, right = (df.withColumn("own_level", _own_level(size)) for df in (left, right))
+    present = sorted({r[0] for df in (left, right) for r in df.select("own_level").distinct().collect()})
     a, b = ({k: F.col(f"{p}{k}") for k in AXES} for p in ("l_", "r_"))
-    met = _celled(left, size, "l_").join(_celled(right, size, "r_"), ["cell_x", "cell_y"])
-    own = (F.col("cell_x") == _cell(F.greatest(a["x0"], b["x0"]), size)) & (F.col("cell_y") == _cell(F.greatest(a["y0"], b["y0"]), size))
-    return met.where(overlaps_closed(a, b) & own & predicate(a, b)).drop("cell_x", "cell_y")
+    home = F.array("own_level")
+    above = lambda strict: F.filter(F.array(*map(F.lit, present)), lambda m: m > F.col("own_level") if strict else m >= F.col("own_level"))
+
+    def met(l_levels: Column, r_levels: Column) -> DataFrame:
+        pairs = _celled(left, size, "l_", l_levels).join(_celled(right, size, "r_", r_levels), ["level", "cell_x", "cell_y"])
+        cell = lambda k: _cell(F.greatest(a[k], b[k]), _size(size, F.col("level")))
+        own = (F.col("cell_x") == cell("x0")) & (F.col("cell_y") == cell("y0"))
+        return pairs.where(overlaps_closed(a, b) & own & predicate(a, b)).drop("level", "cell_x", "cell_y")
+
+    if len(present) < 2:
+        return met(home, home)
+    # the box of the higher level is at home; boxes of equal levels meet in the first part
+    return met(home, above(False)).unionByName(met(above(True), home))
 
 
 def overlap_pairs(boxes: DataFrame, threshold: float = 0.3, size: float | None = None) -> DataFrame:

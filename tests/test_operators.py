@@ -17,7 +17,9 @@ def rows(df):
 def test_binned_join_is_the_plain_join(spark):
     rng = np.random.default_rng(3)
     data = [(i, float(x), float(y), float(x + w), float(y + h)) for i, (x, y, w, h) in enumerate(zip(*rng.uniform(0, 10, (2, 200)), *rng.uniform(0, 3, (2, 200)), strict=True))]
+    data += [(200, 0.0, 0.0, 1e6, 1e6), (201, -5e4, 1.0, 9.0, 2.0), (202, 3.0, 3.0, 3.0, 3.0), (203, 5.0, 5.0, 4.0, 6.0)]
     boxes = spark.createDataFrame(data, "id long, x0 double, y0 double, x1 double, y1 double")
+    data = data[:-1]  # upside down: pairs with none
     plain = sorted((a[0], b[0]) for a in data for b in data if a[0] < b[0] and a[1] <= b[3] and a[3] >= b[1] and a[2] <= b[4] and a[4] >= b[2])
     for size in (None, 0.4, 50.0):
         assert rows(spatial_join.touching_pairs(boxes, size)) == plain
