@@ -6,31 +6,53 @@ result as Parquet and reads it as the next one's documents.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, mixing, quality_rules, simhash, toxicity
 from gridloom.staging import stage
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def keeping_columns(stage_: Stage) -> Stage:
+    """The stage, returning exactly the columns of its documents: ones that an operator names alike are set apart meanwhile."""
+
+    @functools.wraps(stage_)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        apart = {c: f"__own_{c}" for c in docs.columns if c not in ("doc_id", "text", "lang", "source")}
+        out = stage_(spark, docs.withColumnsRenamed(apart), sf_dir)
+        return out.select(*(F.col(apart.get(c, c)).alias(c) for c in docs.columns))
+
+    return run_stage
+
 
+@keeping_columns
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier, fitted on these documents' labels, calls toxic."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_documents(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.score_documents(docs, model).where("predicted = 0")
 
 
+@keeping_columns
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that fail the base rules or lie beyond their group's fences."""
-    return quality_rules.judge(quality_rules.measure(docs)).where("kept").select(*docs.columns)
+    return quality_rules.judge(quality_rules.measure(docs)).where("kept")
 
 
+@keeping_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return simhash.near_dedup(docs)
 
 
+@keeping_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target weight asks for, shuffled."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
