@@ -213,3 +213,17 @@ def test_bit_slices_are_distances():
         if np.array_equal(before, want):
             break
     assert np.array_equal(labels, want)
+
+
+def test_stages_keep_clashing_columns(spark, sf_dir):
+    import corpus_pipeline as p
+
+    own = {c: f"own {c}" for c in ("score", "predicted", "kept", "n_words", "copy", "shuffle_key", "fp", "component_id", "ids")}
+    docs = table(spark, sf_dir, "documents").withColumns({k: F.lit(v) for k, v in own.items()})
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and 0 < out.count()
+        assert out.where(" OR ".join(f"{k} <> '{v}'" for k, v in own.items())).count() == 0
+    empty = docs.limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0
