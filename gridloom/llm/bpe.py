@@ -1,12 +1,11 @@
-"""Byte-level BPE: exact encoding of any text, long ones by tree concatenation; decoding.
+"""Byte-level BPE: exact encoding of any text, long pre-tokens by tree concatenation; decoding.
 
-Short texts go to the tokenizers library whole.  A long text is first cut where its pattern is
-bound to cut as well (a printable ASCII character before a blank or newline).  What stays long
-is split by the library's own pre-tokenizer; a pre-token that is still long ("unsplit") is cut
-into halves down to leaves, the leaves are encoded in parallel, and halves are joined by
-re-encoding a window around the join, which grows until its first token is the left half's
-and its last one the right half's.  Adjacent tokens that are right together make a right whole,
-so the joined tokens are those of the unsplit text.
+A text is cut into pre-tokens as the tokenizers library cuts it.  Pre-tokens are independent and
+repeat, so the ids of ordinary ones are kept (a bounded cache).  A pre-token that is long
+("unsplit" text) is cut into halves down to leaves, the leaves are encoded in parallel, and
+halves are joined by re-encoding a window around the join, which grows until its first token is
+the left half's and its last one the right half's.  Adjacent tokens that are right together make
+a right whole, so the joined tokens are those of the unsplit text.
 
 Defined results: a null text is empty and has no tokens; special strings inside a text are the
 library's special tokens; repeated rows get equal results; an empty table gives an empty result;
@@ -29,12 +28,18 @@ from pyspark.sql import types as T
 
 from gridloom.llm.batches import in_text_batches
 
-LONG = 1 << 15  # characters from which a text or a part of one is cut
-LEAF = 1 << 11
+LEAF = 1 << 11  # bytes of a pre-token encoded as one; longer ones are trees
 WINDOW = 4  # tokens on either side of a join at first
 BATCH_CHARS = 1 << 20
+CACHED = 300_000  # pre-tokens that a worker keeps
 
-_SURE = re.compile(r"[!-~](?=[ \n])")
+#: Letters, and marks, up to U+024F.  Superscript digits and fractions, and the spaces of which only
+#: some count as white space everywhere, are in neither: texts with those, or beyond, go the library's way.
+_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_MARKS = r"!-/:-@\[-`{-~" + "\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7"
+_OTHER = re.compile(f"[^\t-\r 0-9{_LETTERS}{_MARKS}]")
+#: The public pattern of this vocabulary for texts of those.
+_CUT = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[{_MARKS}]+|\s+(?!\S)|\s+")
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -43,6 +48,29 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_alphabet() -> list[str]:
+    """The printable stand-in of each byte: itself, or the next code point from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+
+
+class _Packed(dict):
+    """Pre-token → its ids, packed as little-endian 32-bit numbers; long ones aren't kept."""
+
+    def __init__(self, coder: TreeEncoder):
+        super().__init__()
+        self.coder = coder
+
+    def __missing__(self, pretoken: str) -> bytes:
+        packed = np.array(self.coder.tree(self.coder.mapped(pretoken)), "<u4").tobytes()
+        if len(pretoken) <= 64:
+            if len(self) >= CACHED:
+                self.clear()
+            self[pretoken] = packed
+        return packed
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> TreeEncoder:
     """One for each worker and file."""
@@ -61,67 +89,55 @@ class TreeEncoder:
         bare = spec | {"pre_tokenizer": None, "added_tokens": [], "post_processor": None}
         self.bare = Tokenizer.from_str(json.dumps(bare))
         self.piece = {i: s for s, i in self.bare.get_vocab().items()}
+        self.public = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.alphabet = byte_alphabet()
+        self.packed = _Packed(self)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     # -- texts ------------------------------------------------------------------------------
 
-    def encode_batch(self, texts: Sequence[str]) -> list[list[int]]:
-        """The library's ids of every text, without added special tokens."""
-        pieces: list[str] = []
-        plan: list[list[int | list[int]]] = []
-        for text in texts:
-            parts: list[int | list[int]] = []
-            for piece in [text] if len(text) <= LONG else self._cut(text):
-                if len(piece) <= 2 * LONG:
-                    parts.append(len(pieces))
-                    pieces.append(piece)
-                else:
-                    parts.append(self._unsplit(piece))
-            plan.append(parts)
-        ids = [e.ids for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)]
-        return [ids[p[0]] if len(p) == 1 and isinstance(p[0], int) else [i for x in p for i in (ids[x] if isinstance(x, int) else x)] for p in plan]
-
-    def _cut(self, text: str) -> list[str]:
-        """Parts of at least ``LONG`` characters, where there are sure cuts."""
-        out, at = [], 0
-        while len(text) - at > LONG and (m := _SURE.search(text, at + LONG - 1)):
-            out.append(text[at : m.end()])
-            at = m.end()
-        return [*out, text[at:]] if at < len(text) else out
+    def pretokens(self, text: str) -> list[str]:
+        """As the library cuts a text without special strings."""
+        if self.public and not _OTHER.search(text):
+            return _CUT.findall(text)
+        return [text[a:b] for _, (a, b) in self.whole.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _unsplit(self, text: str) -> list[int]:
-        ids: list[int] = []
+    def parts(self, text: str) -> Iterator[tuple[int, str, bool]]:
+        """(start, part, is special) of a text; parts between special strings are cut apart from each other."""
         at = 0
         for m in self.special_pattern.finditer(text) if self.special_pattern else ():
-            ids += self._plain(text[at : m.start()])
-            ids.append(self.special[m[0]])
+            if m.start() > at:
+                yield at, text[at : m.start()], False
+            yield m.start(), m[0], True
             at = m.end()
-        return ids + self._plain(text[at:])
-
-    def _plain(self, text: str) -> list[int]:
-        """By the library's pre-tokens: short ones together, long ones as trees."""
-        ids: list[int] = []
-        waiting: list[str] = []
-
-        def flush() -> None:
-            for e in self.bare.encode_batch_fast(waiting, add_special_tokens=False):
-                ids.extend(e.ids)
-            waiting.clear()
-
-        for mapped, _ in self.whole.pre_tokenizer.pre_tokenize_str(text) if text else ():
-            if len(mapped) <= LEAF:
-                waiting.append(mapped)
-                continue
-            flush()
-            ids += self.tree(mapped)
-        flush()
-        return ids
+        if at < len(text):
+            yield at, text[at:], False
+
+    def encode(self, text: str) -> np.ndarray:
+        """The library's ids of a text, without added special tokens, as little-endian 32-bit numbers."""
+        packed = self.packed
+        found = []
+        for _, part, special in self.parts(text):
+            if special:
+                found.append(np.array([self.special[part]], "<u4").tobytes())
+            else:
+                found += map(packed.__getitem__, self.pretokens(part))
+        return np.frombuffer(b"".join(found), "<u4")
+
+    def encode_batch(self, texts: Sequence[str]) -> list[list[int]]:
+        return [self.encode(t).tolist() for t in texts]
 
     # -- one pre-token ------------------------------------------------------------------------
 
+    def mapped(self, pretoken: str) -> str:
+        alphabet = self.alphabet
+        return "".join([alphabet[b] for b in pretoken.encode()])
+
     def tree(self, mapped: str) -> list[int]:
-        """Ids of one pre-token (in the vocabulary's byte alphabet) by tree concatenation."""
+        """Ids of one pre-token (in the vocabulary's byte alphabet), of a long one by tree concatenation."""
+        if len(mapped) <= LEAF:
+            return self.bare.encode(mapped, add_special_tokens=False).ids
         leaves = [mapped[i : i + LEAF] for i in range(0, len(mapped), LEAF)]
         level = [e.ids for e in self.bare.encode_batch_fast(leaves, add_special_tokens=False)]
         while len(level) > 1:
@@ -176,15 +192,14 @@ def encode_documents(documents: DataFrame, path: str | None = None, keep_text: b
             for run in in_chars(texts):
                 slice_ = batch.slice(at, len(run))
                 at += len(run)
-                ids = coder.encode_batch(run)
-                arrays = [np.array(i, "<u4") for i in ids]
+                arrays = list(map(coder.encode, run))
                 columns = [slice_.column(c) for c in kept]
                 if keep_ids:
                     columns.append(pa.array([a.astype(np.int32) for a in arrays], pa.list_(pa.int32())))
                 columns += [
-                    pa.array([len(i) for i in ids], pa.int64()),
+                    pa.array([len(a) for a in arrays], pa.int64()),
                     pa.array([hashlib.sha256(a.tobytes()).hexdigest() for a in arrays]),
-                    pa.array([hashlib.sha256(coder.decode(i).encode()).hexdigest() for i in ids]),
+                    pa.array([hashlib.sha256(coder.decode(a.tolist()).encode()).hexdigest() for a in arrays]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *(f.name for f in added)])
 

@@ -232,12 +232,23 @@ TEXTS = st.lists(st.sampled_from(PIECES), max_size=60).map("".join)
 @given(TEXTS)
 def test_trees_are_exact(library, text):
     coder = bpe.encoder(bpe.vocabulary())
-    before = bpe.LONG, bpe.LEAF
-    bpe.LONG, bpe.LEAF = 20, 5
+    before, bpe.LEAF = bpe.LEAF, 5
+    coder.packed.clear()
     try:
         assert coder.encode_batch([text, text.replace(" ", "")]) == [library.encode(t, add_special_tokens=False).ids for t in (text, text.replace(" ", ""))]
     finally:
-        bpe.LONG, bpe.LEAF = before
+        bpe.LEAF = before
+        coder.packed.clear()
+
+
+def test_the_pattern_cuts_as_the_public_one():
+    import public_tokenizers
+    import regex
+
+    public = regex.compile(public_tokenizers.PATTERN)
+    for c in map(chr, range(0x250)):
+        for text in (c, f"a{c}b", f" {c} 1", f"'{c}", f"{c}{c}!", f"s'{c}re", f"\n{c}  "):
+            assert bpe._OTHER.search(text) or bpe._CUT.findall(text) == public.findall(text)
 
 
 @settings(max_examples=150, deadline=None)
