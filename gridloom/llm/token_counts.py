@@ -15,7 +15,6 @@ named like the added columns.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +30,6 @@ from gridloom.llm.bpe import TreeEncoder, encoder, vocabulary
 LIMIT = 1024
 CACHED = 300_000  # pre-tokens, and pairs of tokens, that a worker keeps
 
-#: Characters on which the regex module and the library agree for certain (others take the library's way).
-_PLAIN = re.compile("[^\t-\r -~¡-ɏ]")
 _WHITE = regex.compile(r"\s+")
 
 
@@ -41,21 +38,11 @@ def counter(path: str) -> TokenCounter:
     return TokenCounter(path)
 
 
-def _byte_alphabet() -> list[str]:
-    """The printable stand-in of each byte: itself, or the next code point from 256 on."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
-
-
 class TokenCounter:
     def __init__(self, path: str):
         import ahocorasick
-        import public_tokenizers
 
         self.coder: TreeEncoder = encoder(path)
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.alphabet = _byte_alphabet()
         self.length = {i: len(s) for i, s in self.coder.piece.items()}
         self.endings = ahocorasick.Automaton()
         for i, s in self.coder.piece.items():
@@ -68,16 +55,12 @@ class TokenCounter:
         """True if the two tokens' joint string is encoded as these two."""
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) >= 4 * CACHED:
+            if len(self.fits) >= 2 * CACHED:
                 self.fits.clear()
             piece = self.coder.piece
             known = self.fits[a, b] = self.coder.bare.encode(piece[a] + piece[b], add_special_tokens=False).ids == [a, b]
         return known
 
-    def mapped(self, text: str) -> str:
-        alphabet = self.alphabet
-        return "".join([alphabet[b] for b in text.encode()])
-
     def byte_table(self, mapped: str) -> list[int]:
         """Tokens of every byte prefix of one pre-token."""
         count, last = [0] * (len(mapped) + 1), [-1] * (len(mapped) + 1)
@@ -94,34 +77,15 @@ class TokenCounter:
 
     def table(self, pretoken: str) -> list[int]:
         """Tokens of every prefix, by characters, of one pre-token."""
-        count = self.byte_table(self.mapped(pretoken))
+        count = self.byte_table(self.coder.mapped(pretoken))
         if len(count) == len(pretoken) + 1:
             return count
         ends = np.cumsum([0, *(len(c.encode()) for c in pretoken)])
         return [count[e] for e in ends]
 
-    def pretokens(self, text: str) -> list[str]:
-        """As the library cuts a text without special strings."""
-        if not _PLAIN.search(text):
-            return self.pattern.findall(text)
-        spans = self.coder.whole.pre_tokenizer.pre_tokenize_str(text)
-        return [text[a:b] for _, (a, b) in spans]
-
-    def parts(self, text: str) -> Iterator[tuple[int, str, bool]]:
-        """(start, part, is special) of a text; parts between special strings are cut apart from each other."""
-        at = 0
-        if self.coder.special_pattern:
-            for m in self.coder.special_pattern.finditer(text):
-                if m.start() > at:
-                    yield at, text[at : m.start()], False
-                yield m.start(), m[0], True
-                at = m.end()
-        if at < len(text):
-            yield at, text[at:], False
-
     def count(self, text: str) -> int:
         totals = self.totals
-        return sum(1 if special else sum(map(totals.__getitem__, self.pretokens(part))) for _, part, special in self.parts(text))
+        return sum(1 if special else sum(map(totals.__getitem__, self.coder.pretokens(part))) for _, part, special in self.coder.parts(text))
 
 
 class _Totals(dict):
@@ -132,7 +96,7 @@ class _Totals(dict):
         self.counter = counter
 
     def __missing__(self, pretoken: str) -> int:
-        n = self.counter.byte_table(self.counter.mapped(pretoken))[-1]
+        n = self.counter.byte_table(self.counter.coder.mapped(pretoken))[-1]
         if len(pretoken) <= 64:
             if len(self) >= CACHED:
                 self.clear()
@@ -166,18 +130,18 @@ def _prefix_counts(text: str, c: TokenCounter) -> np.ndarray:
     base = 0
     sure = 0  # a place before which every prefix through it is cut alike
     sure_base = 0
-    for start, part, special in c.parts(text):
+    for start, part, special in c.coder.parts(text):
         if special:
             # inside the special string the prefix is ordinary text, and what is before it may be cut otherwise
             for k in range(1, len(part)):
-                out[start + k] = sure_base + len(c.coder.encode_batch([text[sure : start + k]])[0])
+                out[start + k] = sure_base + len(c.coder.encode(text[sure : start + k]))
             base += 1
             out[start + len(part)] = base
             sure, sure_base = start + len(part), base
             continue
         at = start
         bases: dict[int, int] = {}
-        for pretoken in c.pretokens(part):
+        for pretoken in c.coder.pretokens(part):
             bases[at] = base
             counts = c.table(pretoken)
             out[at + 1 : at + len(pretoken) + 1] = base + np.array(counts[1:])
