@@ -57,10 +57,6 @@ def aerial(keywords: Column) -> Column:
     return keywords.isNotNull() & keywords.contains("Aerial")
 
 
-def interval_gap(low: Column, covered: Column) -> Column:
-    return low > covered
-
-
 def check_arguments(dimension: int = 1, scale: float = 1.0, workers: int | None = None, axis: str = "auto", least_dimension: int = 1) -> None:
     """Guards of the entry points; a wrong argument is a ValueError."""
     if dimension < least_dimension:

@@ -177,3 +177,18 @@ def test_scene_table(spark):
 def test_downloads_left(spark):
     ids = lambda *v: spark.createDataFrame([(i,) for i in v], "downloadId long")
     assert rows(remote.ready_downloads(ids(1, 2, 3), ids(2, 3, 3), ids(3))) == [(2,)]
+
+
+def test_process_terrain(spark, tmp_path):
+    coverage = [-80.0, -180.0, 80.0, 180.0]
+    registry = spark.createDataFrame([("k", "l", "u", 0.3, 3857, coverage, ["imagery", "elevation"])], services.SCHEMA)
+    stub = {"transport": "tests.stub_service:get", "timeout": 1}
+    out = pipelines.process_terrain(spark, 39.2, -82.2, 0.05, registry, str(tmp_path), dimension=2, **stub)
+    assert sorted(out) == [17, 18] and not (tmp_path / "tiles").exists()
+    for level in out:
+        doc = json.loads((tmp_path / f"tier_{level}" / manifest.NAME).read_text())
+        assert doc["images"] and all((tmp_path / f"tier_{level}" / f"{i['name']}.png").exists() for i in doc["images"])
+    again = pipelines.process_terrain(spark, 39.2, -82.2, 0.05, registry, str(tmp_path), dimension=2, resume=True, keep_tiles=True, **stub)
+    assert again[18].count() == out[18].count() and (tmp_path / "tiles").exists()
+    with pytest.raises(Exception, match="finer than the native level"):
+        pipelines.download_imagery(spark, 39.2, -82.2, 0.05, registry.withColumn("native_pixel_size_m", F.lit(100.0)), str(tmp_path / "x"), 18, **stub)
