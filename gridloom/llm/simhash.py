@@ -6,7 +6,8 @@
    three bits agree on at least three blocks, so each fingerprint goes under its 20 triples of
    blocks (about 32 bits each).  That is exact: no link is missed, whatever the data.
 3. A key with more than ``BUCKET_ROWS`` fingerprints is cut into chunks by hash, and every pair
-   of chunks is a task of its own, so no task holds more than about two chunks.
+   of chunks is a task of its own, so no task holds more than about two chunks.  (Rows sent
+   for such a key grow with the square of its distinct fingerprints over the chunk's size.)
 4. In a bucket, members are stored as bit planes, 64 to a machine word.  A query's distance to
    the 64 members of a word grows by carry-save bitwise counters over the planes, and a word
    is abandoned once all of its members exceed the radius.
