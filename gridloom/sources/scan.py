@@ -23,7 +23,9 @@ def files(spark: SparkSession, folder: str, recursive: bool = True, missing_ok:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     target = folder if recursive else f"{folder.rstrip('/')}/*"
     try:
-        return reader.load(target)
+        found = reader.load(target)
+        # the pattern also matches folders, whose files aren't this folder's
+        return found if recursive else found.where(F.element_at(F.split("path", "/"), -2) == folder.rstrip("/").rpartition("/")[2])
     except AnalysisException as e:
         if missing_ok and "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], _FILES)

@@ -55,6 +55,11 @@ def test_tile_scans(spark, tmp_path):
     assert "content" not in scan.cache_tiles(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
     listing = scan.files(spark, scan.all_layers(str(tmp_path)))
     assert scan.find_file(listing, "readme.txt").endswith("readme.txt") and scan.find_file(listing, "x") is None
+    flat = tmp_path / "flat"
+    (flat / "below").mkdir(parents=True)
+    (flat / "a.txt").write_text("a")
+    (flat / "below" / "b.txt").write_text("b")
+    assert [r["path"].rsplit("/", 1)[-1] for r in scan.folder_files(spark, str(flat)).collect()] == ["a.txt"]
     with pytest.raises(ValueError):
         scan.folder_files(spark, str(tmp_path / "none"))
 
