@@ -5,7 +5,8 @@ Each slot has a sparse ternary index vector, derived from its number; its contex
 sum of the index vectors of the words around its occurrences, over the whole texts of all
 documents.  These sums are whole numbers, so they don't depend on the order of tasks.  A
 document is the mean of its words' vectors, weighted towards rare words, joined with the mean
-of their index vectors.  The network learns from a bounded sample of labelled documents
+of their index vectors and three numbers that a mean can't tell: the words' log count, and the
+shares of distinct words and of words that repeat the one, or one but one, before.  The network learns from a bounded sample of labelled documents
 (``PER_CLASS`` ids a class); a part of that sample is kept back to fit the temperature that
 calibrates its probabilities.
 
@@ -137,19 +138,15 @@ class WordVectors:
         return WordVectors((np.hstack((context, index)) * weights[:, None]).astype(np.float32), weights.astype(np.float32))
 
     def pooled(self, text: str | None) -> np.ndarray:
-        total, weight, n = np.zeros(2 * DIMENSIONS), 0.0, 0
+        total, weight, n, repeats = np.zeros(2 * DIMENSIONS), 0.0, 0, 0
+        seen = np.zeros(WORDS, bool)
         for words in slots_of(text):
-            # by distinct word: a gather of each occurrence would take most of the time
-            count = np.bincount(words, minlength=WORDS) if len(words) > WORDS else None
-            if count is not None:
-                at = np.flatnonzero(count)
-                total += count[at] @ self.vectors[at]
-                weight += float(count[at] @ self.weights[at])
-            else:
-                total += self.vectors[words].sum(axis=0, dtype=np.float64)
-                weight += float(self.weights[words].sum(dtype=np.float64))
+            total += self.vectors[words].sum(axis=0, dtype=np.float64)
+            weight += float(self.weights[words].sum(dtype=np.float64))
+            seen[words] = True
+            repeats += sum(int(np.count_nonzero(words[d:] == words[:-d])) for d in (1, 2))
             n += len(words)
-        return np.concatenate((total / max(weight, 1e-9), [np.log1p(n)]))
+        return np.concatenate((total / max(weight, 1e-9), [np.log1p(n), np.count_nonzero(seen) / max(n, 1), repeats / max(n, 1)]))
 
 
 def word_vectors(documents: DataFrame) -> WordVectors:
@@ -228,7 +225,7 @@ class QualityModel:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.network is None or self.words is None:
             return np.full(len(texts), self.constant)
-        x = np.stack([self.words.pooled(t) for t in texts]) if texts else np.zeros((0, 2 * DIMENSIONS + 1))
+        x = np.stack([self.words.pooled(t) for t in texts]) if texts else np.zeros((0, 2 * DIMENSIONS + 3))
         return self.network.probability(x)
 
 
