@@ -71,7 +71,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def _dup_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(F.lit(SPACES), x) != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(SPACES)) != "")
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 

@@ -119,6 +119,15 @@ def test_outliers_go_and_clean_stay(spark):
     assert {r["doc_id"] for r in got.where("NOT kept").collect()} == {100}
 
 
+def test_blank_lines_are_no_duplicates(spark):
+    paragraphs = [" ".join(f"w{i}x{j}" for j in range(5)) for i in range(20)]
+    texts = ["\n\n".join(paragraphs), "\n \t\x0b\x0c\r\n".join(paragraphs), "\n".join(paragraphs), "a\n\nb\n \nc\n\n", "a\n\n b\na\n\na"]
+    got = quality_rules.judge(quality_rules.measure(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]))).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert [by[i]["n_dup_lines"] for i in range(5)] == [0, 0, 0, 0, 2]
+    assert by[0]["kept"] and by[1]["kept"] and by[2]["kept"]
+
+
 # -- op4
 
 
