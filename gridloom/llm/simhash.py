@@ -244,14 +244,19 @@ def link_forest(prints: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     return sorted_.select("key", "part", "fp").mapInArrow(_forest, "u long, v long")
 
 
+def labelled(reps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``fp, component, component_id`` of every ``fp`` in ``reps`` (``fp, rep``): its component's own key and smallest id."""
+    linked = components(edges)
+    known = reps.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    known = stage(known, "simhash-labels")
+    smallest = known.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return known.join(smallest, "component").select("fp", "component", "component_id")
+
+
 def _groups(prints: DataFrame, bucket_rows: int) -> DataFrame:
-    """``fp, component_id`` of every fingerprint in ``prints`` (``doc_id, fp``)."""
+    """``fp, component, component_id`` of every fingerprint in ``prints`` (``doc_id, fp``)."""
     reps = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    linked = components(link_forest(reps.select("fp"), bucket_rows))
-    labelled = reps.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    labelled = stage(labelled, "simhash-labels")
-    smallest = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return labelled.join(smallest, "component").select("fp", "component_id")
+    return labelled(reps, link_forest(reps.select("fp"), bucket_rows))
 
 
 def near_duplicates(documents: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -260,26 +265,42 @@ def near_duplicates(documents: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Dat
     return prints.join(_groups(prints, bucket_rows), "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(documents: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """The documents without near-duplicates: of each group the row of the smallest ``doc_id`` stays.
+def hashed(documents: DataFrame) -> DataFrame:
+    """Add ``__h``, the hash of all columns; the text comes first, since nulls don't count in a hash."""
+    return documents.withColumn("__h", F.xxhash64(F.col("text").isNull(), "text", *_plain(documents)))
+
+
+def _plain(documents: DataFrame) -> list[str]:
+    return [f.name for f in documents.schema if "map<" not in f.dataType.simpleString()]  # maps can't be hashed
+
+
+def one_of_each(keyed: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of ``hashed`` documents the chosen row of each group: ``prints`` has ``doc_id, h, fp``, ``groups`` is ``labelled``.
 
-    If that id has several rows in the group, the one of the smallest hash of all columns stays.
-    A group without any id keeps one row as well.  Rows are chosen by narrow columns alone; the
-    whole rows are shuffled once, for a hash join that keeps the chosen ones, and need no sort.
+    Groups are told apart by their component; ids may be shared by groups.
     """
-    plain = [f.name for f in documents.schema if "map<" not in f.dataType.simpleString()]  # maps can't be hashed
-    keyed = documents.withColumn("__h", F.xxhash64(*plain))
-    prints = stage(_prints_of(keyed), "simhash-prints")
-    named = prints.join(_groups(prints.select("doc_id", "fp"), bucket_rows), "fp")
-    # groups are told apart by their id; those without one by their fingerprint
-    group = (F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")))
-    firsts = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(group[0].alias("__id"), group[1].alias("__fp")).agg(F.min("h").alias("__kept"))
+    documents = keyed.drop("__h")
+    named = prints.select("doc_id", "h", "fp").join(groups, "fp")
+    firsts = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("component_id").alias("__id"), F.min("h").alias("__kept"))
     firsts = stage(firsts.select("__id", "__kept").distinct(), "simhash-kept")
     same = keyed["doc_id"].eqNullSafe(F.col("__id")) & (keyed["__h"] == F.col("__kept"))
     kept = keyed.join(firsts.hint("shuffle_hash"), same, "left_semi").select(*documents.columns)
     # only rows that are equal in all columns are left to fold
     repeats = prints.groupBy("doc_id", "h").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(plain) if repeats else kept
+    return kept.dropDuplicates(_plain(documents)) if repeats else kept
+
+
+def near_dedup(documents: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The documents without near-duplicates: of each group the row of the smallest ``doc_id`` stays.
+
+    If that id has several rows in the group, the one of the smallest hash of all columns stays;
+    rows of one id with other texts count in their own texts' groups.  A group without any id
+    keeps one row as well.  Rows are chosen by narrow columns alone; the whole rows are shuffled
+    once, for a hash join that keeps the chosen ones, and need no sort.
+    """
+    keyed = hashed(documents)
+    prints = stage(_prints_of(keyed), "simhash-prints")
+    return one_of_each(keyed, prints, _groups(prints.select("doc_id", "fp"), bucket_rows))
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -144,6 +144,13 @@ def test_simhash(spark, odd, none):
     assert nameless.count() == 2
 
 
+def test_groups_that_share_an_id_both_stay(spark):
+    a, b = ("".join(f"{c}{i} " for i in range(200)) for c in "ab")
+    rows = [(7, a, "en", "a"), (7, b, "en", "a"), (12, b.upper(), "en", "a"), (15, a.upper(), "en", "a"), (None, LONG, None, None), (None, LONG + " ", None, "b")]
+    kept = simhash.near_dedup(documents(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"].strip()[:2]) for r in kept) == [(0, "wo"), (7, "a0"), (7, "b0")]
+
+
 def test_hot_buckets_lose_nothing(spark):
     base = 0x0F0F_3C3C_A5A5_9999
     near = [base ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(a)]
