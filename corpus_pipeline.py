@@ -1,4 +1,4 @@
-"""From raw documents to token ids: toxicity, quality rules, near-duplicates, mixing, BPE.
+"""From raw documents to token ids: toxicity, quality rules, near-duplicates (by SimHash, then by five-word shingles), mixing, BPE.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes each one's
 result as Parquet and reads it as the next one's documents.
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, mixing, quality_rules, simhash, toxicity
+from gridloom.llm import bpe, five_words, mixing, quality_rules, simhash, toxicity
 from gridloom.staging import stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -49,6 +49,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.near_dedup(docs)
 
 
+@keeping_columns
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingles have a similarity of 0.8 or more."""
+    return five_words.near_dedup(docs)
+
+
 @keeping_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target weight asks for, shuffled."""
@@ -64,6 +70,7 @@ STAGES = [
     ("toxicity", drop_toxic),
     ("quality rules", keep_quality),
     ("SimHash near-dedup", drop_near_duplicates),
+    ("five-word near-dedup", drop_similar),
     ("mixing sources to target weights", mix_sources),
     ("BPE encoding and decoding", encode),
 ]

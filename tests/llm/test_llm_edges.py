@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, mixing, quality_model, quality_rules, simhash, token_counts, toxicity, urls, vectors
+from gridloom.llm import bpe, chat, five_words, mixing, quality_model, quality_rules, simhash, token_counts, toxicity, urls, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PROSE = "the quick brown fox jumps over a lazy dog while seven other animals look on from their place in some far shade "
@@ -162,6 +162,50 @@ def test_hot_buckets_lose_nothing(spark):
     assert found.count() == len(near) and found.select("component").distinct().count() == 1
 
 
+# -- the pipeline's near-duplicates by five words
+
+
+def brute_similar(texts):
+    """Groups (as id → smallest id) of texts whose five-word similarity is 0.8 or more."""
+    words = {i: (t or "").lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    ids, of = sorted(sets), {i: i for i in sets}
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            a, b = sets[i], sets[j]
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                old, new = max(of[i], of[j]), min(of[i], of[j])
+                of = {k: new if v == old else v for k, v in of.items()}
+    return of
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
+def test_five_words_catch_what_simhash_leaves(spark, table):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    want = brute_similar(texts)
+    assert sorted(r["doc_id"] for r in five_words.near_dedup(docs).collect()) == sorted(set(want.values()))
+    out = docs
+    for name, stage in p.STAGES:
+        if "dedup" in name:
+            out = stage(spark, out, f"/root/testdata/{table}")
+    left = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert left and all(i == j for i, j in brute_similar(left).items())
+
+
+def test_five_words_in_any_buckets(spark, odd, none):
+    base = [f"w{i}" for i in range(300)]
+    near = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(120)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate([*near, *near[:60]])])
+    for rows in (5, 256):
+        assert [r["doc_id"] for r in five_words.near_dedup(docs, rows).collect()] == [0]
+    kept = five_words.near_dedup(odd.withColumn("fp", F.lit("mine"))).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 4, 5, 6, 7, 8, 9]
+    assert five_words.near_dedup(none).count() == 0
+
+
 # -- op5 and op10
 
 
