@@ -32,14 +32,17 @@ def lowest_hashes(rows: DataFrame, most: int, total: int, *columns: Column | str
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int, name: str) -> tuple[DataFrame, int, int]:
     """(``doc_id, text, y``, ids of class 0, ids of class 1): staged training documents and the labels' totals.
 
-    At most ``per_class`` ids of each class are taken, by the lowest hash, from the folds that may
-    be learned from; an id with both labels counts as 1.  The sampled ids, ``2 * per_class`` at
-    most, are broadcast, so texts are filtered in the scan's stage and not shuffled.
+    At most ``per_class`` ids of each class are taken, by the lowest hash, among the documents'
+    own ids of the folds that may be learned from; an id with both labels counts as 1.  The sampled
+    ids, ``2 * per_class`` at most, are broadcast, so texts are filtered in the scan's stage and not shuffled.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    totals = known.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
-    parts = [lowest_hashes(known.where(F.col("y") == y), per_class, totals[y], F.lit(name), "doc_id") for y in (0, 1)]
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("here", F.lit(True))
+    known = stage(known.join(own, "doc_id", "left"), f"{name}-labels")
+    totals = known.agg(*(F.count_if(F.col("y") == y) for y in (0, 1)), *(F.count_if((F.col("y") == y) & F.col("here")) for y in (0, 1))).first()
+    known = known.where("here").select("doc_id", "y")
+    parts = [lowest_hashes(known.where(F.col("y") == y), per_class, totals[2 + y], F.lit(name), "doc_id") for y in (0, 1)]
     ids = stage(parts[0].unionByName(parts[1]).coalesce(1), f"{name}-ids")
     sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
     return stage(sample.select("doc_id", "text", "y"), f"{name}-sample"), totals[0], totals[1]

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeats, empty tables and clashing columns, for every operator."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, five_words, mixing, quality_model, quality_rules, simhash, token_counts, toxicity, urls, vectors
+from gridloom.llm import bpe, chat, five_words, labelled, mixing, quality_model, quality_rules, simhash, token_counts, toxicity, urls, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PROSE = "the quick brown fox jumps over a lazy dog while seven other animals look on from their place in some far shade "
@@ -229,6 +230,16 @@ def test_classifiers(spark, odd, none, module):
     assert module.score_documents(none, module.fit(none, labels)).count() == 0
 
 
+def test_labels_of_other_documents_take_no_place(spark):
+    docs = documents(spark, [(i, f"text {i}", "en", "a") for i in range(0, 60_000, 500)])
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), (F.col("id") % 1000 == 0).cast("int").alias("toxic"))
+    sample, all0, all1 = labelled.labelled_sample(docs, labels, "toxic", 30, "test")
+    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    own = [i for i in range(0, 60_000, 500) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sizes == {y: min(30, sum(i % 1000 == 500 * (1 - y) for i in own)) for y in (0, 1)}
+    assert all0 > 30_000 and all1 < 60
+
+
 def test_temperature():
     rng = np.random.default_rng(1)
     z = rng.normal(0, 2, 4000)
