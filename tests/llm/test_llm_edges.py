@@ -129,6 +129,16 @@ def test_blank_lines_are_no_duplicates(spark):
     assert by[0]["kept"] and by[1]["kept"] and by[2]["kept"]
 
 
+def test_junk_does_not_set_its_own_standard(spark):
+    clean = [(i, " ".join(f"w{(i * 7 + j * j) % 997}" for j in range(80)), "en", f"s{i % 4}") for i in range(240)]
+    junk = [(1000 + i, " ".join(f"w{j}{'#' * (1 + i % 3)}" for j in range(80)), "en", "s1") for i in range(20)]
+    code = [(2000 + i, " ".join(f"w{(i * j) % 91}&" for j in range(80)), "en", "code") for i in range(12)]
+    got = quality_rules.judge(quality_rules.measure(documents(spark, clean + junk)))
+    assert {r["doc_id"] for r in got.where("NOT kept").collect()} == {r[0] for r in junk}
+    apart = quality_rules.thresholds(quality_rules.measure(documents(spark, clean + code))).where("source = 'code'").first()
+    assert apart["high_symbols_per_word"] > 0.1  # a source that is all of another kind keeps a part of its own fence
+
+
 # -- op4
 
 

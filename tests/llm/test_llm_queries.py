@@ -54,28 +54,55 @@ def quantile(values, q):
     return values[max(0, math.ceil(q * len(values)) - 1)]
 
 
-def test_quality_rules(spark, sf_dir):
+def brute_fences(rows):
+    """(high, low) of each ratio of one group's ``rows`` of (symbols, dup lines, repeats, chars a word, words, lines)."""
+    low, mid, high = ([quantile([r[i] for r in rows], q) for i in range(6)] for q in (0.1, 0.5, 0.9))
+    one = (1 / mid[4], 1 / mid[5], 6 / mid[4], mid[3] / mid[4])
+    return [(high[i] + max(4 * (high[i] - mid[i]), 5 * one[i]), low[i] - max(4 * (mid[i] - low[i]), 5 * one[i]), mid[i]) for i in range(4)]
+
+
+@pytest.mark.parametrize("table_dir", ["sf0.001", "sf0.01"])
+def test_quality_rules(spark, table_dir):
+    sf_dir = f"/root/testdata/{table_dir}"
     docs = {r["doc_id"]: r for r in table(spark, sf_dir, "documents").collect()}
     got = queries.QUERIES["op3_quality_rules"](spark, sf_dir).collect()
     assert len(got) == len(docs)
-    ratios, groups = {}, {}
+    ratios, groups, langs = {}, {}, {}
     for r in got:
         d = docs[r["doc_id"]]
         n, chars, symbols, dup, repeat = counts = brute_counts(d["text"])
         assert counts == (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
         assert r["base_failed"] == (n < 50 or 100 * repeat > 50 * n)
         w, lines = max(n, 1), (d["text"] or "").count("\n") + 1
-        ratios[r["doc_id"]] = dict(zip(quality_rules.MARGINS, (symbols / w, dup / lines, repeat / w, chars / w), strict=True))
-        groups.setdefault((d["lang"], d["source"]), []).append(r["doc_id"])
-    kept = {r["doc_id"]: r["kept"] for r in got}
-    for ids in groups.values():
-        for k, (least, both) in quality_rules.MARGINS.items():
-            low, high = (quantile([ratios[i][k] for i in ids], q) for q in (0.25, 0.75))
-            width = max(quality_rules.FENCE * (high - low), least)
-            for i in ids:
-                if ratios[i][k] > high + width + 1e-9 or (both and ratios[i][k] < low - width - 1e-9):
-                    assert not kept[i]
-    assert 0 < sum(kept.values()) < len(kept)
+        if not r["base_failed"]:
+            ratios[r["doc_id"]] = row = (symbols / w, dup / lines, repeat / w, chars / w, n, lines)
+            groups.setdefault((d["lang"], d["source"]), []).append(row)
+            langs.setdefault(d["lang"], []).append(row)
+    whole = {k: brute_fences(v) for k, v in langs.items()}
+    fences = {}
+    for (lang, source), rows in groups.items():
+        share, fences[lang, source] = len(rows) / (len(rows) + 50), []
+        for (high, low, mid), (lang_high, lang_low, _) in zip(brute_fences(rows), whole[lang], strict=True):
+            high = high if mid > lang_high else min(high, lang_high)
+            low = low if mid < lang_low else max(low, lang_low)
+            fences[lang, source].append((lang_high + share * (high - lang_high), lang_low + share * (low - lang_low)))
+    for r in got:
+        d, row = docs[r["doc_id"]], ratios.get(r["doc_id"])
+        over = row and [(x - high, i == 3 and low - x) for i, (x, (high, low)) in enumerate(zip(row, fences[d["lang"], d["source"]], strict=False))]
+        if row is None or max(map(max, over)) > 1e-9:
+            assert not r["kept"]
+        elif max(map(max, over)) < -1e-9 or not any(a > 0 or b > 0 for a, b in over):
+            assert r["kept"]
+    assert 0 < sum(r["kept"] for r in got) < len(got)
+
+
+def test_fences_and_groups_decide(spark):
+    """Another width or prior, or one group for all, changes verdicts."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    measured = quality_rules.measure(docs).drop("text").cache()
+    usual = {r["doc_id"] for r in quality_rules.judge(measured).where("kept").collect()}
+    for other in (quality_rules.judge(measured, fence=0.0, occurrences=0.0), quality_rules.judge(measured.withColumns({"lang": F.lit(""), "source": F.lit("")}))):
+        assert usual != {r["doc_id"] for r in other.where("kept").collect()}
 
 
 def brute_print(text):
