@@ -1,11 +1,15 @@
-"""Byte-level BPE: exact encoding of any text, long pre-tokens by tree concatenation; decoding.
+"""Byte-level BPE: exact encoding of any text by tree concatenation; decoding.
 
-A text is cut into pre-tokens as the tokenizers library cuts it.  Pre-tokens are independent and
-repeat, so the ids of ordinary ones are kept (a bounded cache).  A pre-token that is long
-("unsplit" text) is cut into halves down to leaves, the leaves are encoded in parallel, and
-halves are joined by re-encoding a window around the join, which grows until its first token is
-the left half's and its last one the right half's.  Adjacent tokens that are right together make
-a right whole, so the joined tokens are those of the unsplit text.
+A text between special strings is cut into halves, wherever that falls, down to leaves of at most
+``LEAF`` characters.  Leaves are encoded in parallel: all new pre-tokens of a batch go through the
+library at once.  Two neighbours are joined by cutting a window around the join into pre-tokens
+and encoding them anew; it starts with ``WINDOW`` pre-tokens on either side and grows on each side
+until both sides agree: its first pre-tokens are the left half's and its last ones the right half's.
+
+A pre-token that runs over the join is a tree too: the tokens of its two halves are joined by a
+window of tokens, which grows until its first token is the left half's and its last one the right
+half's.  Adjacent tokens that are right together make a right whole, so unsplit text of any length
+gets its tokens from such joins alone.
 
 Defined results: a null text is empty and has no tokens; special strings inside a text are the
 library's special tokens; repeated rows get equal results; an empty table gives an empty result;
@@ -28,10 +32,12 @@ from pyspark.sql import types as T
 
 from gridloom.llm.batches import in_text_batches
 
-LEAF = 1 << 11  # bytes of a pre-token encoded as one; longer ones are trees
-WINDOW = 4  # tokens on either side of a join at first
+LEAF = 1024  # characters of a leaf
+WINDOW = 3  # pre-tokens, or tokens of one, on either side of a join at first
+SURE = 2  # pre-tokens at either end of a window that must agree: what follows one changes the two before at most
 BATCH_CHARS = 1 << 20
-CACHED = 300_000  # pre-tokens that a worker keeps
+CACHED = 300_000  # pre-tokens that a worker keeps, none longer than ``SHORT`` characters
+SHORT = 64
 
 #: Letters, and marks, up to U+024F.  Superscript digits and fractions, and the spaces of which only
 #: some count as white space everywhere, are in neither: texts with those, or beyond, go the library's way.
@@ -56,19 +62,19 @@ def byte_alphabet() -> list[str]:
 
 
 class _Packed(dict):
-    """Pre-token → its ids, packed as little-endian 32-bit numbers; long ones aren't kept."""
+    """Pre-token → its ids, packed as little-endian 32-bit numbers; long ones are kept for the texts at hand alone."""
 
     def __init__(self, coder: TreeEncoder):
         super().__init__()
         self.coder = coder
+        self.long: dict[str, bytes] = {}
 
     def __missing__(self, pretoken: str) -> bytes:
-        packed = np.array(self.coder.tree(self.coder.mapped(pretoken)), "<u4").tobytes()
-        if len(pretoken) <= 64:
-            if len(self) >= CACHED:
-                self.clear()
-            self[pretoken] = packed
-        return packed
+        found = self.long.get(pretoken)
+        if found is None:
+            ids = self.coder.bare.encode(self.coder.mapped(pretoken), add_special_tokens=False).ids
+            found = (self if len(pretoken) <= SHORT else self.long)[pretoken] = np.array(ids, "<u4").tobytes()
+        return found
 
 
 @lru_cache(maxsize=4)
@@ -116,46 +122,91 @@ class TreeEncoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The library's ids of a text, without added special tokens, as little-endian 32-bit numbers."""
-        packed = self.packed
-        found = []
-        for _, part, special in self.parts(text):
-            if special:
-                found.append(np.array([self.special[part]], "<u4").tobytes())
-            else:
-                found += map(packed.__getitem__, self.pretokens(part))
-        return np.frombuffer(b"".join(found), "<u4")
+        return self.encode_all([text])[0]
 
     def encode_batch(self, texts: Sequence[str]) -> list[list[int]]:
-        return [self.encode(t).tolist() for t in texts]
-
-    # -- one pre-token ------------------------------------------------------------------------
-
-    def mapped(self, pretoken: str) -> str:
-        alphabet = self.alphabet
-        return "".join([alphabet[b] for b in pretoken.encode()])
-
-    def tree(self, mapped: str) -> list[int]:
-        """Ids of one pre-token (in the vocabulary's byte alphabet), of a long one by tree concatenation."""
-        if len(mapped) <= LEAF:
-            return self.bare.encode(mapped, add_special_tokens=False).ids
-        leaves = [mapped[i : i + LEAF] for i in range(0, len(mapped), LEAF)]
-        level = [e.ids for e in self.bare.encode_batch_fast(leaves, add_special_tokens=False)]
+        return [a.tolist() for a in self.encode_all(texts)]
+
+    def encode_all(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The ids of several texts, whose leaves are encoded in parallel."""
+        forests = [[(part if special else None, None if special else self.leaves(part)) for _, part, special in self.parts(text)] for text in texts]
+        self.learn({pretoken for forest in forests for _, leaves in forest for pretoken in set().union(*leaves or ())})
+        out = []
+        for forest in forests:
+            found: list[bytes] = []
+            for special, leaves in forest:
+                if special is None:
+                    found += map(self.packed.__getitem__, self.concatenated(leaves))
+                else:
+                    found.append(np.array([self.special[special]], "<u4").tobytes())
+            out.append(np.frombuffer(b"".join(found), "<u4"))
+        self.packed.long.clear()
+        return out
+
+    # -- trees ------------------------------------------------------------------------------
+
+    def leaves(self, text: str) -> list[list[str]]:
+        """The pre-tokens of each leaf: halves of halves, until none is longer than ``LEAF``."""
+        n = 1
+        while n * LEAF < len(text):
+            n *= 2
+        cuts = [i * len(text) // n for i in range(n + 1)]
+        return [self.pretokens(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def learn(self, pretokens: set[str]) -> None:
+        """Encode what is not known yet, in parallel."""
+        packed = self.packed
+        new = [p for p in pretokens if p not in packed]
+        if len(packed) + len(new) > CACHED:
+            packed.clear()
+        for i in range(0, len(new), CACHED):
+            part = new[i : i + CACHED]
+            for p, e in zip(part, self.bare.encode_batch_fast(list(map(self.mapped, part)), add_special_tokens=False), strict=True):
+                (packed if len(p) <= SHORT else packed.long)[p] = np.array(e.ids, "<u4").tobytes()
+
+    def concatenated(self, level: list[list[str]]) -> list[str]:
+        """The pre-tokens of a text, all with known ids, from those of its leaves."""
         while len(level) > 1:
-            level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return level[0] if level else []
+            level = [self.join(level[i], level[i + 1]) for i in range(0, len(level), 2)]
+        return level[0]
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: list[str], right: list[str]) -> list[str]:
+        """Both halves' pre-tokens as one run, exactly as if their text had not been cut; ``left`` grows in place."""
+        if not left or not right:
+            return left or right
         a = b = WINDOW
-        while left and right:
+        while True:
             a, b = min(a, len(left)), min(b, len(right))
-            window = "".join(self.piece[i] for i in (*left[-a:], *right[:b]))
+            window = self.pretokens("".join((*left[-a:], *right[:b])))
+            agree_left = a == len(left) or window[:SURE] == left[-a:][:SURE]
+            agree_right = b == len(right) or window[-SURE:] == right[:b][-SURE:]
+            if agree_left and agree_right:
+                break
+            a, b = a if agree_left else 2 * a, b if agree_right else 2 * b
+        over = left[-1] + right[0]
+        if len(over) > SHORT and over in window and over not in self.packed.long:
+            self.packed.long[over] = self.join_tokens(self.packed[left[-1]], self.packed[right[0]])
+        left[-a:] = window
+        left += right[b:]
+        return left
+
+    def join_tokens(self, left: bytes, right: bytes) -> bytes:
+        """The tokens of one pre-token from those of its two halves."""
+        first, second = np.frombuffer(left, "<u4"), np.frombuffer(right, "<u4")
+        a = b = WINDOW
+        while True:
+            a, b = min(a, len(first)), min(b, len(second))
+            window = "".join([self.piece[i] for i in (*first[-a:].tolist(), *second[:b].tolist())])
             ids = self.bare.encode(window, add_special_tokens=False).ids
-            agree_left = a == len(left) or ids[0] == left[-a]
-            agree_right = b == len(right) or ids[-1] == right[b - 1]
+            agree_left = a == len(first) or ids[0] == first[-a]
+            agree_right = b == len(second) or ids[-1] == second[b - 1]
             if agree_left and agree_right:
-                return left[:-a] + ids + right[b:]
+                return b"".join((left[: 4 * (len(first) - a)], np.array(ids, "<u4").tobytes(), right[4 * b :]))
             a, b = a if agree_left else 2 * a, b if agree_right else 2 * b
-        return left or right
+
+    def mapped(self, pretoken: str) -> str:
+        alphabet = self.alphabet
+        return "".join([alphabet[b] for b in pretoken.encode()])
 
     def decode(self, ids: Sequence[int]) -> str:
         return self.whole.decode(ids, skip_special_tokens=False)
@@ -192,7 +243,7 @@ def encode_documents(documents: DataFrame, path: str | None = None, keep_text: b
             for run in in_chars(texts):
                 slice_ = batch.slice(at, len(run))
                 at += len(run)
-                arrays = list(map(coder.encode, run))
+                arrays = coder.encode_all(run)
                 columns = [slice_.column(c) for c in kept]
                 if keep_ids:
                     columns.append(pa.array([a.astype(np.int32) for a in arrays], pa.list_(pa.int32())))

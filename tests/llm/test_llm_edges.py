@@ -309,17 +309,28 @@ PIECES = ["a", "the", " ", "  ", "\n", "'", "'re", "'ll", "'s", "1", "23", "<|en
 TEXTS = st.lists(st.sampled_from(PIECES), max_size=60).map("".join)
 
 
-@settings(max_examples=150, deadline=None)
-@given(TEXTS)
-def test_trees_are_exact(library, text):
+@settings(max_examples=400, deadline=None)
+@given(TEXTS, st.integers(1, 9))
+def test_trees_are_exact(library, text, leaf):
     coder = bpe.encoder(bpe.vocabulary())
-    before, bpe.LEAF = bpe.LEAF, 5
+    before, bpe.LEAF, short, bpe.SHORT = bpe.LEAF, leaf, bpe.SHORT, 3
     coder.packed.clear()
     try:
-        assert coder.encode_batch([text, text.replace(" ", "")]) == [library.encode(t, add_special_tokens=False).ids for t in (text, text.replace(" ", ""))]
+        texts = [text, text.replace(" ", ""), text.replace("a", "'")]
+        assert coder.encode_batch(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
     finally:
-        bpe.LEAF = before
-        coder.packed.clear()
+        bpe.LEAF, bpe.SHORT = before, short
+
+
+def test_ordinary_texts_are_trees(spark, library, monkeypatch):
+    """Joins make the ids of documents, also where a leaf ends inside a word or a run of spaces."""
+    coder = bpe.encoder(bpe.vocabulary())
+    joins = []
+    join = coder.join
+    monkeypatch.setattr(coder, "join", lambda a, b: joins.append(1) or join(a, b))
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    assert coder.encode_batch(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(joins) > len(texts)
 
 
 def test_the_pattern_cuts_as_the_public_one():
