@@ -273,6 +273,25 @@ def test_vectors(spark):
     assert top == [(1, 2**63 - 1), (2, -(2**63))]
 
 
+def test_repeated_queries_each_have_their_own_results(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0]), *((i, [0.5, i / 16]) for i in range(1, 9)), (3, [0.5, 3 / 16])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in vectors.top_k(df, F.col("vec_id") == 50).collect())
+    first = [(50, n + 1, i, 256 * 128) for n, i in enumerate((1, 2, 3, 3, 4))]
+    other = [(50, n + 1, i, 256 * 16 * i) for n, i in enumerate((8, 7, 6, 5, 4))]
+    assert got == sorted([*first, *first, *other])
+
+
+def test_many_equal_vectors(spark):
+    rows = [(i, [0.5, 0.25]) for i in range(700) for _ in range(1 + (i == 0) * 20)] + [(i, [0.1, i / 1024]) for i in range(700, 800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = vectors.top_k(df, F.col("vec_id") % 50 == 0, candidate_rows=64).collect()
+    score = 128 * 128 + 64 * 64
+    assert sum(r["query_id"] == 0 for r in got) == 21 * 5
+    assert {(r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == 0} == {(i, i, score) for i in range(1, 6)}
+    assert {(r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == 50} == {(i, 0, score) for i in range(1, 6)}
+
+
 def test_vectors_are_exact_in_any_blocks(spark):
     rng = np.random.default_rng(7)
     m = np.round(rng.normal(0, 0.2, (300, 8)), 1).astype(np.float32)
