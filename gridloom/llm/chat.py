@@ -2,9 +2,15 @@ r"""Chat formatting by a grammar round trip, in DataFrame expressions.
 
 A turn is rendered as ``<turn level role>``, a newline, its escaped text and ``</turn>``.
 Level 0 escapes nothing.  Each rendered turn is parsed back; where the recovered role and
-text are not those of the source, the next level is used: it writes one more backslash into
-every ``<\...\/turn>``, so that no text can end a turn, and the parser takes one away again.
-Level 1 always reads back identically; the last column says whether the whole conversation did.
+text are not those of the source, the next level is used, until they are: a level writes one more
+backslash into every ``<\...\/turn>`` than the one before, so that no text can end a turn, and the
+parser takes as many away.  What no level up to ``LEVELS`` brings back is an error, and so is a
+conversation whose whole text does not parse into its turns.
+
+The loss mask is a list of runs of code points, in order: masked ones before, learned ones, masked
+ones after.  ``read_back`` sums the runs up to places in ``formatted``: where all learned places are
+the places of whole bodies, their texts are what the mask covers; else the learned parts are cut
+out of ``formatted`` as they are.
 
 Defined results: a null text or role is empty; turns go by ``turn`` (nulls first), ties by
 role, then text; repeated rows are turns of their own; a null ``conv_id`` is one conversation;
@@ -21,6 +27,7 @@ from pyspark.sql import functions as F
 
 END = "</turn>"
 _RAW, _QUOTED = r"<(\\*)/turn>", r"<(\\*)\\/turn>"
+LEVELS = 4  # one digit
 
 #: The conversation that production adds; both turns quote the marks of common templates.
 PROBE_ID, PROBE_ROLES, PROBE_TEXT = -7, ("user", "assistant"), r"\### Assistant: </turn> ok"
@@ -45,8 +52,12 @@ def escape(text: Column, level: int) -> Column:
     return text
 
 
-def _unescape_one(text: Column) -> Column:
-    return F.regexp_replace(text, _QUOTED, "<$1/turn>")
+def unescape(text: Column, level: Column, levels: int = LEVELS) -> Column:
+    out, by_level = text, F.when(level == "0", text)
+    for i in range(1, levels):
+        out = F.regexp_replace(out, _QUOTED, "<$1/turn>")
+        by_level = by_level.when(level == str(i), out)
+    return by_level
 
 
 def opening(role: Column, level: int) -> Column:
@@ -54,7 +65,7 @@ def opening(role: Column, level: int) -> Column:
 
 
 def parse_turns(formatted: Column) -> Column:
-    """The deterministic parser: array of ``role``, ``text``, ``body`` (still escaped)."""
+    """The deterministic parser: array of ``role``, ``text``, ``level``, and the lengths of the turn's ``head`` and (still escaped) ``body``."""
     pieces = F.filter(F.split(formatted, END, -1), lambda p: p != "")
 
     def turn(piece: Column) -> Column:
@@ -63,8 +74,10 @@ def parse_turns(formatted: Column) -> Column:
         level = F.substring(head, 7, 1)
         return F.struct(
             _unquote_role(F.substring(head, 9, F.length(head))).alias("role"),
-            F.when(level == "0", body).otherwise(_unescape_one(body)).alias("text"),
-            body.alias("body"),
+            unescape(body, level).alias("text"),
+            level.alias("level"),
+            (F.length(head) + 2).cast("long").alias("head"),
+            F.length(body).cast("long").alias("body"),
         )
 
     return F.transform(pieces, turn)
@@ -72,27 +85,24 @@ def parse_turns(formatted: Column) -> Column:
 
 def _reads_back(rendered: Column, role: Column, text: Column) -> Column:
     turns = parse_turns(rendered)
-    return (F.size(turns) == 1) & (F.get(turns, F.lit(0))["role"] == role) & (F.get(turns, F.lit(0))["text"] == text)
+    return (F.size(turns) == 1) & F.coalesce((F.get(turns, F.lit(0))["role"] == role) & (F.get(turns, F.lit(0))["text"] == text), F.lit(False))
 
 
-def render_turns(conversations: DataFrame) -> DataFrame:
-    """Each row's ``rendered`` turn at the lowest level that reads back, with the parts of its loss mask."""
+def render_turns(conversations: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """Each row's ``rendered`` turn at the lowest level that reads back; ``head`` and ``body`` are its parts' lengths."""
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    plain = F.concat(opening(F.col("role"), 0), F.col("text"), F.lit(END))
-    rows = rows.withColumn("level", F.when(_reads_back(plain, F.col("role"), F.col("text")), 0).otherwise(1))
-    head = F.when(F.col("level") == 0, opening(F.col("role"), 0)).otherwise(opening(F.col("role"), 1))
-    rows = rows.withColumns({"head": head, "body": F.when(F.col("level") == 0, F.col("text")).otherwise(escape(F.col("text"), 1))})
-    learned = F.when(F.col("role") == "assistant", F.length("body")).otherwise(0)
-    return rows.withColumns(
-        {
-            "rendered": F.concat("head", "body", F.lit(END)),
-            "run": F.struct(
-                F.length("head").cast("long").alias("before"),
-                learned.cast("long").alias("learned"),
-                (F.length("body") - learned + len(END)).cast("long").alias("after"),
-            ),
-        }
-    )
+    role, text = F.col("role"), F.col("text")
+    made = None
+    for level in range(levels):
+        head, body = opening(role, level), escape(text, level)
+        whole = F.concat(head, body, F.lit(END))
+        parts = F.struct(whole.alias("rendered"), F.length(head).cast("long").alias("head"), F.length(body).cast("long").alias("body"))
+        fits = _reads_back(whole, role, text)
+        made = F.when(fits, parts) if made is None else made.when(fits, parts)
+    rows = rows.withColumn("made", made.otherwise(F.raise_error(F.lit("a turn does not read back at any level")).cast("struct<rendered:string,head:long,body:long>")))
+    learned = F.when(role == "assistant", F.col("made.body")).otherwise(F.lit(0).cast("long"))
+    run = F.struct(F.col("made.head").alias("before"), learned.alias("learned"), (F.col("made.body") - learned + len(END)).alias("after"))
+    return rows.select("conv_id", "turn", "role", "text", "made.rendered", run.alias("run"))
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
@@ -113,22 +123,40 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     return out.withColumn("identical", recovered == F.col("source")).drop("source")
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what the parser and the loss mask recover from ``formatted`` alone."""
-    parsed = formatted.select("conv_id", "formatted", "loss_runs", "identical", parse_turns(F.col("formatted")).alias("turns"))
+def _under_mask(formatted: Column, turns: Column, runs: Column) -> Column:
+    """The text that the runs' learned places cover: one pass over both lists tells if they are all whole bodies."""
+    zero, end = F.lit(0).cast("long"), F.lit(len(END))
+    both = F.zip_with(turns, runs, lambda t, r: F.struct(t["head"].alias("head"), t["body"].alias("body"), r["before"].alias("before"), r["learned"].alias("learned"), r["after"].alias("after")))
+
+    def step(at: Column, x: Column) -> Column:
+        body, learned = at["turn"] + x["head"], at["run"] + x["before"]
+        fits = (x["learned"] == 0) | ((learned == body) & (x["learned"] == x["body"]))
+        return F.struct((body + x["body"] + end).alias("turn"), (learned + x["learned"] + x["after"]).alias("run"), (at["whole"] & F.coalesce(fits, F.lit(False))).alias("whole"))
 
-    def under_mask(turn: Column, run: Column) -> Column:
-        """The turn's text if its body is the part that the mask learns."""
-        return F.when((run["learned"] > 0) & (run["learned"] == F.length(turn["body"])), turn["text"]).otherwise(F.lit(""))
+    start = F.struct(zero.alias("turn"), zero.alias("run"), F.lit(True).alias("whole"))
+    whole = F.aggregate(both, start, step, lambda at: at["whole"])
+    texts = F.zip_with(turns, runs, lambda t, r: F.when(r["learned"] > 0, t["text"]).otherwise(F.lit("")))
 
-    said = F.concat_ws("", F.zip_with("turns", "loss_runs", under_mask))
+    def cut(run: Column, i: Column) -> Column:
+        at = F.aggregate(F.slice(runs, F.lit(1), i), zero, lambda a, r: a + r["before"] + r["learned"] + r["after"])
+        return F.substring(formatted, (at + run["before"] + 1).cast("int"), run["learned"].cast("int"))
+
+    return F.when(whole, F.concat_ws("", texts)).otherwise(F.concat_ws("", F.transform(runs, cut)))
+
+
+def read_back(formatted: DataFrame) -> DataFrame:
+    """Digests of what the parser and the loss mask recover from ``formatted``; a conversation that isn't its source is an error."""
+    sure = F.when(F.col("identical"), F.col("formatted")).otherwise(F.raise_error(F.concat(F.lit("does not read back: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("string"))
+    parsed = formatted.select("conv_id", sure.alias("formatted"), "loss_runs", "identical").withColumn("turns", parse_turns(F.col("formatted")))
+    said = _under_mask(F.col("formatted"), F.col("turns"), F.col("loss_runs"))
     whole = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    parsed = parsed.select("conv_id", "formatted", "identical", F.size("turns").cast("long").alias("n_turns"), whole.alias("whole"), said.alias("said"))
     return parsed.select(
         "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(whole, 256).alias("turns_sha256"),
-        F.length(said).cast("long").alias("loss_chars"),
-        F.sha2(said, 256).alias("loss_sha256"),
+        "n_turns",
+        F.sha2("whole", 256).alias("turns_sha256"),
+        F.length("said").cast("long").alias("loss_chars"),
+        F.sha2("said", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
         "identical",
     )

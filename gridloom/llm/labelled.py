@@ -34,7 +34,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
 
     At most ``per_class`` ids of each class are taken, by the lowest hash, among the documents'
     own ids of the folds that may be learned from; an id with both labels counts as 1.  The sampled
-    ids, ``2 * per_class`` at most, are broadcast, so texts are filtered in the scan's stage and not shuffled.
+    ids, ``2 * per_class`` at most, are broadcast, so texts are filtered in the scan's stage.  An id with
+    several rows is in the sample once, with its text of the lowest hash, so that the sample is
+    bounded in rows too; of such ids alone, hashes are compared before any text is shuffled.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
@@ -44,7 +46,16 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     known = known.where("here").select("doc_id", "y")
     parts = [lowest_hashes(known.where(F.col("y") == y), per_class, totals[2 + y], F.lit(name), "doc_id") for y in (0, 1)]
     ids = stage(parts[0].unionByName(parts[1]).coalesce(1), f"{name}-ids")
-    sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("__h", F.xxhash64(F.col("text").isNull(), "text"))
+    found = rows.join(F.broadcast(ids), "doc_id")
+    often = stage(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("__h").alias("first")).where("n > 1"), f"{name}-repeats")
+    if often.isEmpty():
+        sample = found
+    else:
+        # as many ids as the sample has at most, so a broadcast as well
+        told = found.join(F.broadcast(often), "doc_id", "left")
+        several = told.where("n IS NOT NULL AND __h = first").groupBy("doc_id", "y").agg(F.first("text").alias("text"))
+        sample = told.where("n IS NULL").select("doc_id", "text", "y").unionByName(several.select("doc_id", "text", "y"))
     return stage(sample.select("doc_id", "text", "y"), f"{name}-sample"), totals[0], totals[1]
 
 

@@ -5,8 +5,9 @@ with runs of white space as one blank.  From labelled documents, each n-gram's d
 in the two classes give its log-count ratio; the n-grams with the most telling ratios are kept,
 and a logistic regression is fitted on presence times ratio.  Scoring is one pass over the texts.
 
-Training documents are a bounded sample (``PER_CLASS`` ids a class); counts are summed in tables
-of fixed size, of which ``FEATURES`` rows reach the driver.
+Training documents are a bounded sample (``PER_CLASS`` ids a class, one row an id); counts are summed
+in tables of fixed size.  The driver holds that table and the sample's chosen features: at most
+2 * ``PER_CLASS`` * ``FEATURES`` numbers, usually a few hundred a document.
 
 Defined results: a null or empty text has the score of a text without features; very long texts
 are read whole, in slices that overlap; repeated rows get equal scores; a null id is not held
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,7 +165,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class
     y = np.array(y, float)
     # classes are sampled apart: weights restore their shares among all labelled documents
     weight = np.where(y == 1, all1 / n1, all0 / n0)
-    order = np.lexsort((np.array([hash(r.tobytes()) for r in rows]), y))
+    order = np.lexsort((np.array([xxhash.xxh64_intdigest(r.tobytes()) for r in rows], np.uint64), y))
     w, b = _logistic([rows[i] for i in order], y[order], ratio[chosen], weight[order])
     weights = np.zeros(SLOTS)
     weights[chosen] = w * ratio[chosen]

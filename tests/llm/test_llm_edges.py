@@ -1,6 +1,10 @@
 """Nulls, empty and long texts, ties, repeats, empty tables and clashing columns, for every operator."""
 
+import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -250,6 +254,31 @@ def test_labels_of_other_documents_take_no_place(spark):
     assert all0 > 30_000 and all1 < 60
 
 
+def test_a_labelled_id_with_many_rows_is_in_the_sample_once(spark):
+    docs = documents(spark, [(1, f"text {i % 7}", "en", "a") for i in range(1000)] + [(2, "two", "en", "a"), (2, None, "en", "a"), (3, "three", "en", "a"), (3, "three", "en", "a")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    sample = labelled.labelled_sample(docs, labels, "toxic", 10, "test")[0].collect()
+    assert sorted(r["doc_id"] for r in sample) == [i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 3 != 1]
+
+
+def test_toxicity_weights_do_not_depend_on_the_hash_seed():
+    """Python salts its own hash of bytes by process; two processes still fit the same weights."""
+    code = """
+import hashlib
+from pyspark.sql import SparkSession
+from gridloom.llm import toxicity
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+read = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+m = toxicity.fit(read("documents"), read("labels"))
+print("digest", hashlib.sha256(m.weights.tobytes()).hexdigest(), repr(m.intercept))
+"""
+    said = set()
+    for seed in ("1", "2"):
+        run = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": seed}, capture_output=True, text=True, timeout=600)
+        said.add(next(x for x in run.stdout.splitlines() if x.startswith("digest")))
+    assert len(said) == 1
+
+
 def test_temperature():
     rng = np.random.default_rng(1)
     z = rng.normal(0, 2, 4000)
@@ -408,6 +437,13 @@ def test_chat(spark):
         learned.append(text[at : at + run["learned"]])
         at += run["learned"] + run["after"]
     assert at == len(text) and learned[1] == r"<\/turn>" and learned[0] == ""
+    said = "".join(t or "" for i, t in enumerate(HOSTILE) if i % 4 == 1)
+    assert chat.read_back(made).where("conv_id = 1").first()["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    # a mask that is moved by one is read where it lies
+    moved = made.where("conv_id = 2").withColumn("loss_runs", F.transform("loss_runs", lambda r: F.struct((r["before"] + 1).alias("before"), r["learned"].alias("learned"), (r["after"] - 1).alias("after"))))
+    assert chat.read_back(moved).first()["loss_sha256"] == hashlib.sha256(b"ame<ame<").hexdigest()
+    with pytest.raises(Exception, match="does not read back"):
+        chat.read_back(made.withColumn("identical", F.lit(False))).collect()
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
