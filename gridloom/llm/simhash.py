@@ -17,7 +17,9 @@
 Defined results: a null or blank text has fingerprint zero and is linked like any other; texts
 of one or two words hash as a whole; a null id takes part by its text, and a group without any
 other id has a null component; repeated rows each get a row; an empty table gives an empty
-result; extra columns pass through ``near_dedup`` and are ignored by the rest.
+result; other columns are ignored.
+
+``near_dedup`` in the module of that name applies the comparison to documents of similar five-word shingles.
 """
 
 from __future__ import annotations
@@ -133,10 +135,17 @@ _WORD = np.uint64(64)
 
 def link_classes(prints: np.ndarray, bucket: np.ndarray, radius: int = RADIUS, slab: int = SLAB) -> np.ndarray:
     """For rows sorted by ``bucket``: the smallest row index linked to each within its bucket, by bit-sliced comparison."""
+    labels = np.arange(len(prints))
+    for i, j in link_pairs(prints, bucket, radius, slab):
+        _union(labels, i, j)
+    return labels
+
+
+def link_pairs(prints: np.ndarray, bucket: np.ndarray, radius: int = RADIUS, slab: int = SLAB) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For rows sorted by ``bucket``: the pairs ``i < j`` within a bucket that differ in ``radius`` bits at most, some at a time."""
     n = len(prints)
-    labels = np.arange(n)
     if n < 2:
-        return labels
+        return
     starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     sizes = np.diff(np.concatenate((starts, [n])))
     words_of = (sizes + 63) // 64
@@ -166,12 +175,16 @@ def link_classes(prints: np.ndarray, bucket: np.ndarray, radius: int = RADIUS, s
         own = w == word[q]
         above = ~np.uint64(0) << lane[q[own]] << np.uint64(1)  # later members only; a shift by 64 would be undefined
         alive[own] &= above
-        _compare(prints, planes, member, labels, q, w, alive, radius)
+        q, w, hits = _compare(prints, planes, q, w, alive, radius)
+        for i in range(0, len(q), 1 << 13):
+            lit = np.unpackbits(hits[i : i + (1 << 13)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            row, bit = np.nonzero(lit)
+            yield q[i + row], member[w[i + row], bit]
         at = upto
-    return labels
 
 
-def _compare(prints: np.ndarray, planes: np.ndarray, member: np.ndarray, labels: np.ndarray, q: np.ndarray, w: np.ndarray, alive: np.ndarray, radius: int) -> None:
+def _compare(prints: np.ndarray, planes: np.ndarray, q: np.ndarray, w: np.ndarray, alive: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, word, lanes within the radius) of the pairs of query and word that aren't abandoned."""
     counters = [np.zeros(len(q), np.uint64) for _ in range(max(1, radius.bit_length()))]
     over = np.zeros(len(q), np.uint64)
     fps = prints[q]
@@ -186,12 +199,8 @@ def _compare(prints: np.ndarray, planes: np.ndarray, member: np.ndarray, labels:
                 q, w, alive, over, fps = q[live], w[live], alive[live], over[live], fps[live]
                 counters = [c[live] for c in counters]
                 if not len(q):
-                    return
-    hits = alive & ~(over | _exceeds(counters, radius))
-    for i in range(0, len(q), 1 << 13):
-        lit = np.unpackbits(hits[i : i + (1 << 13)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        row, lane = np.nonzero(lit)
-        _union(labels, q[i + row], member[w[i + row], lane])
+                    break
+    return q, w, alive & ~(over | _exceeds(counters, radius))
 
 
 def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
@@ -290,19 +299,6 @@ def one_of_each(keyed: DataFrame, prints: DataFrame, groups: DataFrame) -> DataF
     return kept.dropDuplicates(_plain(documents)) if repeats else kept
 
 
-def near_dedup(documents: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """The documents without near-duplicates: of each group the row of the smallest ``doc_id`` stays.
-
-    If that id has several rows in the group, the one of the smallest hash of all columns stays;
-    rows of one id with other texts count in their own texts' groups.  A group without any id
-    keeps one row as well.  Rows are chosen by narrow columns alone; the whole rows are shuffled
-    once, for a hash join that keeps the chosen ones, and need no sort.
-    """
-    keyed = hashed(documents)
-    prints = stage(_prints_of(keyed), "simhash-prints")
-    return one_of_each(keyed, prints, _groups(prints.select("doc_id", "fp"), bucket_rows))
-
-
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(documents)

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, five_words, labelled, mixing, quality_model, quality_rules, simhash, token_counts, toxicity, urls, vectors
+from gridloom.llm import bpe, chat, labelled, mixing, near_dedup, quality_model, quality_rules, simhash, token_counts, toxicity, urls, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PROSE = "the quick brown fox jumps over a lazy dog while seven other animals look on from their place in some far shade "
@@ -152,17 +152,17 @@ def test_simhash(spark, odd, none):
     by = {r["doc_id"]: r for r in got if r["doc_id"]}
     assert by[1]["fp"] == by[2]["fp"] == by[3]["fp"] == 0 and by[3]["component_id"] == 1
     assert all(r["component_id"] == 7 for r in got if r["fp"] == by[7]["fp"])
-    kept = simhash.near_dedup(odd.withColumn("fp", F.lit("mine"))).collect()
+    kept = near_dedup.near_dedup(odd.withColumn("fp", F.lit("mine"))).collect()
     assert sorted(r["doc_id"] for r in kept) == [1, 4, 5, 6, 7, 8, 9]
-    assert simhash.near_duplicates(none).count() == 0 and simhash.near_dedup(none).count() == 0
-    nameless = simhash.near_dedup(odd.where("doc_id IS NULL"))
+    assert simhash.near_duplicates(none).count() == 0 and near_dedup.near_dedup(none).count() == 0
+    nameless = near_dedup.near_dedup(odd.where("doc_id IS NULL"))
     assert nameless.count() == 2
 
 
 def test_groups_that_share_an_id_both_stay(spark):
     a, b = ("".join(f"{c}{i} " for i in range(200)) for c in "ab")
     rows = [(7, a, "en", "a"), (7, b, "en", "a"), (12, b.upper(), "en", "a"), (15, a.upper(), "en", "a"), (None, LONG, None, None), (None, LONG + " ", None, "b")]
-    kept = simhash.near_dedup(documents(spark, rows)).collect()
+    kept = near_dedup.near_dedup(documents(spark, rows)).collect()
     assert sorted((r["doc_id"] or 0, r["text"].strip()[:2]) for r in kept) == [(0, "wo"), (7, "a0"), (7, "b0")]
 
 
@@ -195,19 +195,30 @@ def brute_similar(texts):
 
 
 @pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
-def test_five_words_catch_what_simhash_leaves(spark, table):
+def test_the_stage_leaves_no_similar_pair(spark, table):
     import corpus_pipeline as p
 
     docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     want = brute_similar(texts)
-    assert sorted(r["doc_id"] for r in five_words.near_dedup(docs).collect()) == sorted(set(want.values()))
-    out = docs
-    for name, stage in p.STAGES:
-        if "dedup" in name:
-            out = stage(spark, out, f"/root/testdata/{table}")
-    left = {r["doc_id"]: r["text"] for r in out.collect()}
-    assert left and all(i == j for i, j in brute_similar(left).items())
+    assert sorted(r["doc_id"] for r in near_dedup.near_dedup(docs).collect()) == sorted(set(want.values()))
+    left = {r["doc_id"]: r["text"] for r in dict(p.STAGES)["SimHash near-dedup"](spark, docs, f"/root/testdata/{table}").collect()}
+    assert sorted(left) == sorted(set(want.values()))
+    assert all(i == j for i, j in brute_similar(left).items())
+
+
+def test_the_radius_keeps_similar_pairs():
+    """Fingerprints of sets at the bound, large and small, differ in fewer bits than the radius."""
+    rng = np.random.default_rng(3)
+    most = 0
+    for n in (4, 5, 8, 20, 100, 1000):
+        for _ in range(400):
+            shared = rng.integers(0, 2**64, n, np.uint64)
+            more = rng.integers(0, 2**64, n // 4, np.uint64)
+            cut = int(rng.integers(0, len(more) + 1))
+            a, b = np.concatenate((shared, more[:cut])), np.concatenate((shared, more[cut:]))
+            most = max(most, (near_dedup.fingerprint(a) ^ near_dedup.fingerprint(b)).bit_count())
+    assert 10 < most <= near_dedup.RADIUS
 
 
 def test_five_words_in_any_buckets(spark, odd, none):
@@ -215,10 +226,34 @@ def test_five_words_in_any_buckets(spark, odd, none):
     near = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(120)]
     docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate([*near, *near[:60]])])
     for rows in (5, 256):
-        assert [r["doc_id"] for r in five_words.near_dedup(docs, rows).collect()] == [0]
-    kept = five_words.near_dedup(odd.withColumn("fp", F.lit("mine"))).collect()
+        assert [r["doc_id"] for r in near_dedup.near_dedup(docs, rows).collect()] == [0]
+    kept = near_dedup.near_dedup(odd.withColumn("fp", F.lit("mine"))).collect()
     assert sorted(r["doc_id"] for r in kept) == [1, 4, 5, 6, 7, 8, 9]
-    assert five_words.near_dedup(none).count() == 0
+    assert near_dedup.near_dedup(none).count() == 0
+
+
+# -- the pipeline's stages on odd rows
+
+
+def test_stages_on_odd_rows(spark, odd):
+    import corpus_pipeline as p
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = odd.withColumn("note", F.lit("mine"))
+    key = lambda r: (r["doc_id"] is None, r["doc_id"])
+    step = dict(p.STAGES)
+    clean = step["toxicity"](spark, rows, sf_dir)
+    assert clean.columns == rows.columns and clean.count() == rows.count()  # none of their ids has a label
+    good = step["quality rules"](spark, rows, sf_dir).collect()
+    assert {r["doc_id"] for r in good} <= {6, 9} and 6 in {r["doc_id"] for r in good} and all(r["note"] == "mine" for r in good)
+    single = step["SimHash near-dedup"](spark, rows, sf_dir)
+    assert sorted(r["doc_id"] for r in single.collect()) == [1, 4, 5, 6, 7, 8, 9]
+    mixed = step["mixing sources to target weights"](spark, rows, sf_dir).collect()
+    sevens = sum(r["doc_id"] == 7 for r in mixed)
+    assert sevens % 2 == 0 and {key(r) for r in mixed} <= {key(r) for r in rows.collect()}
+    last = step["BPE encoding and decoding"](spark, rows, sf_dir)
+    assert last.columns == [*(c for c in rows.columns if c != "text"), "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert {r["n_tokens"] for r in last.where("doc_id <= 2").collect()} == {0} and last.count() == rows.count()
 
 
 # -- op5 and op10
