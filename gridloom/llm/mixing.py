@@ -4,7 +4,7 @@ Each source's repetition rate is its target share of the output over its share o
 from counts over all documents.  A document's count is the Poisson quantile, with that mean,
 of a uniform number hashed from its id, text and the seed; it is exploded by its count, and
 the copies are dealt out by a hash that is also their order: a global shuffle that is the
-same on every run.
+same on every run over the same files.
 
 Defined results: a null source is the empty source; a null id hashes as the empty string;
 repeated rows (same id and text) get the same count; sources absent from ``weights`` get
@@ -64,18 +64,19 @@ def mix(documents: DataFrame, weights: Mapping[str, float] = WEIGHTS, other: flo
 
     ``rates`` is staged, one row a source: broadcast only if Spark finds its size below the
     threshold.  The one shuffle of texts is the global shuffle itself; rows go by a hash of
-    document and copy, so no source or document is hot.
+    document and copy and by the row's number, so no source and no document is hot, and neither
+    are the rows of a document that repeats.
     """
     documents = documents.drop("copy", "shuffle_key")
     rates = stage(repetition_rates(documents, weights, other, size).coalesce(1), "mix-rates")
     rates = rates.select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
     known = documents.join(rates, F.coalesce(documents["source"], F.lit("")) == F.col("__source"))
     identity = (F.col("doc_id").cast("string"), F.md5(F.coalesce(documents["text"], F.lit("")).cast("binary")), F.lit(str(seed)))
-    drawn = known.withColumn("__u", uniform(*identity))
+    drawn = known.withColumns({"__u": uniform(*identity), "__row": F.monotonically_increasing_id()})
     drawn = drawn.withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).where("__n > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("__n") - 1).cast("long"))))
     keyed = copies.withColumn("shuffle_key", F.xxhash64(F.lit(seed), "doc_id", "__u", "copy"))
-    shuffled = keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    shuffled = keyed.repartition("shuffle_key", "__row").sortWithinPartitions("shuffle_key")
     return shuffled.select(*documents.columns, "copy", "shuffle_key")
 
 

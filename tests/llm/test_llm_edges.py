@@ -80,14 +80,26 @@ def test_mixing(spark, odd, none):
     mixed = mixing.mix(clash)
     assert mixed.columns == [*DOCS_NAMES, "copy", "shuffle_key"]
     assert mixing.mix(none).count() == 0
-    counts = mixed.groupBy("doc_id", "text").count()
-    assert counts.where("doc_id = 7").count() in (0, 1)
+    first = odd.where("doc_id = 7").limit(1)
+    sevens = [mixing.mix(first.unionByName(first)).where("doc_id = 7").count(), mixing.mix(odd, size=5.0).where("doc_id = 7").count()]
+    assert all(n % 2 == 0 for n in sevens) and sevens[1] > 0  # both rows draw the same count, and each has its copies
     assert mixing.mix(odd, weights={"a": 0.0, "b": 0.0, "": 0.0}, other=0.0).count() == 0
 
 
 DOCS_NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_mixing_deals_out_repeated_rows(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(4_000, numPartitions=4).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("a").alias("source"))
+        held = mixing.mix(rows, {}, size=3.0).groupBy(F.spark_partition_id()).count().collect()
+        total = sum(r["count"] for r in held)
+        assert total and total % 4_000 == 0 and max(r["count"] for r in held) < 0.4 * total
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_mixing_meets_targets(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), F.when(F.col("id") % 10 < 8, "big").otherwise("small").alias("source"))
     got = {r["source"]: r["count"] for r in mixing.mix(df, {"big": 1.0, "small": 3.0}).groupBy("source").count().collect()}
