@@ -4,6 +4,12 @@ All of it is DataFrame expressions.  The trees are fitted from histograms that S
 aggregates over a bounded, staged sample of labelled URLs; a fitted model is one nested
 ``CASE`` expression, so scoring is a projection without shuffle or Python.
 
+Suffix statistics are the smoothed share of blocked URLs for the host's last one, two and three labels.
+A labelled URL's own label is taken out of its statistics (leave one out), so that the trees learn what
+they say about other URLs.  A fifth of the sample is kept back to place the verdict: the margin moves so
+that 0.5 is where blocked and allowed URLs are told apart best, each kind counting alike, whatever
+their shares are.
+
 Defined results: a null URL, or one without ``://``, has an empty host and path; an empty
 table gives an empty result; repeated rows are judged alike; other columns pass through
 (``with_verdict`` only adds the columns named in its docstring, replacing same-named ones).
@@ -34,7 +40,9 @@ RULES = (
 #: Labelled URLs that the trees are fitted on, at most (the lowest hashes of the URL).
 SAMPLE_ROWS = 20_000
 #: Slots of the hashed suffix table; its size bounds what is broadcast.
-SUFFIX_SLOTS = 4096
+SUFFIX_SLOTS = 1 << 14
+LABELS = (1, 2, 3)  # of the host's end
+SMOOTH = 10.0  # URLs of the usual share that every suffix starts with
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ALPHABET = _LOWER + "0123456789" + "-._~/?&=%+:@"
@@ -109,19 +117,14 @@ def lexical_features(url: Column) -> dict[str, Column]:
     return {k: c.cast("double") for k, c in columns.items()}
 
 
-def _suffix_slot(host: Column) -> Column:
-    return F.pmod(F.xxhash64(F.substring_index(host, ".", -1)), F.lit(SUFFIX_SLOTS)).cast("int")
+def _suffix_slots(host: Column) -> Column:
+    """The slots of the host's last one, two and three labels."""
+    return F.array(*(F.pmod(F.xxhash64(F.lit(k), F.substring_index(host, ".", -k)), F.lit(SUFFIX_SLOTS)).cast("int") for k in LABELS))
 
 
 def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """Smoothed share of blocked URLs and log count for each hashed suffix slot, over all labelled URLs.
-
-    ``labelled`` has ``host`` and ``y``.  At most ``SUFFIX_SLOTS`` rows, whatever the input.
-    """
-    total = labelled.agg(F.coalesce(F.avg("y"), F.lit(0.5)).alias("prior"))
-    grouped = labelled.groupBy(_suffix_slot(F.col("host")).alias("slot")).agg(F.count("*").alias("n"), F.sum("y").alias("blocked"))
-    prior = total.first()["prior"]
-    return grouped.select("slot", ((F.col("blocked") + 10 * prior) / (F.col("n") + 10)).alias("suffix_rate"), F.log1p("n").alias("suffix_count"))
+    """``slot, n, blocked`` over all labelled URLs (``host``, ``y``): at most ``SUFFIX_SLOTS`` rows, whatever the input."""
+    return labelled.select(F.explode(_suffix_slots(F.col("host"))).alias("slot"), "y").groupBy("slot").agg(F.count("*").alias("n"), F.sum("y").alias("blocked"))
 
 
 @dataclass
@@ -161,18 +164,26 @@ class UrlModel:
     suffixes: DataFrame | None = None
     prior: float = 0.5
 
+    def margin(self) -> Column:
+        return reduce(lambda a, t: a + t.column(), self.trees, F.lit(float(self.base)))
+
     def probability(self) -> Column:
-        margin = reduce(lambda a, t: a + t.column(), self.trees, F.lit(float(self.base)))
-        return 1.0 / (1.0 + F.exp(-margin))
+        return 1.0 / (1.0 + F.exp(-self.margin()))
 
 
-def _with_features(df: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
-    """``df`` (with ``__url``) and the feature columns, prefixed ``__f_``."""
+def _with_features(df: DataFrame, suffixes: DataFrame, prior: float, own: Column | None = None) -> DataFrame:
+    """``df`` (with ``__url``) and the feature columns, prefixed ``__f_``; ``own``: the row's label, to be left out of its statistics."""
     out = df.withColumns({f"__f_{k}": c for k, c in lexical_features(F.col("__url")).items()})
-    out = out.withColumn("__slot", _suffix_slot(host_of(F.col("__url"))))
-    small = F.broadcast(suffixes.select(F.col("slot").alias("__slot"), F.col("suffix_rate").alias("__f_suffix_rate"), F.col("suffix_count").alias("__f_suffix_count")))
-    out = out.join(small, "__slot", "left")
-    return out.fillna({"__f_suffix_rate": prior, "__f_suffix_count": 0.0})
+    out = out.withColumn("__slots", _suffix_slots(host_of(F.col("__url"))))
+    gone = F.lit(0.0) if own is None else own
+    one = F.lit(0.0 if own is None else 1.0)
+    for i, k in enumerate(LABELS):
+        small = suffixes.select(F.col("slot").alias("__slot"), F.col("n").alias("__n"), F.col("blocked").alias("__blocked"))
+        out = out.join(F.broadcast(small), F.get("__slots", F.lit(i)) == F.col("__slot"), "left")
+        n = F.greatest(F.coalesce(F.col("__n"), F.lit(0)) - one, F.lit(0.0))
+        rate = (F.greatest(F.coalesce(F.col("__blocked"), F.lit(0.0)) - gone, F.lit(0.0)) + SMOOTH * prior) / (n + SMOOTH)
+        out = out.withColumns({f"__f_suffix{k}_rate": rate, f"__f_suffix{k}_count": F.log1p(n)}).drop("__slot", "__n", "__blocked")
+    return out.drop("__slots")
 
 
 def fit(labelled: DataFrame, trees: int = 8, depth: int = 3, rate: float = 0.4, bins: int = 16, sample_rows: int = SAMPLE_ROWS) -> UrlModel:
@@ -186,16 +197,19 @@ def fit(labelled: DataFrame, trees: int = 8, depth: int = 3, rate: float = 0.4,
     key = F.col("key") if "key" in labelled.columns else F.xxhash64("url")
     labelled = labelled.select(F.col("url").alias("__url"), host_of(F.col("url")).alias("host"), F.col("y").cast("double").alias("y"), key.alias("__key"))
     suffixes = stage(suffix_statistics(labelled), "url-suffixes")
-    sample = lowest_hashes(labelled, sample_rows, labelled.count(), "__key")
-    featured = _with_features(sample, suffixes, 0.5)
+    total = labelled.agg(F.count("*").alias("n"), F.avg("y").alias("share")).first()
+    share = 0.5 if total["share"] is None else total["share"]
+    sample = lowest_hashes(labelled, sample_rows, total["n"], "__key")
+    featured = _with_features(sample, suffixes, share, F.col("y"))
     names = [c for c in featured.columns if c.startswith("__f_")]
-    sample = stage(featured.select(*names, "y").coalesce(1), "url-sample")
+    every = stage(featured.select(*names, "y", (F.pmod(F.xxhash64(F.lit(5), "__key"), F.lit(5)) == 0).alias("__back")).coalesce(1), "url-sample")
+    sample = every.where("NOT __back").drop("__back")
 
     steps = [i / bins for i in range(1, bins)]
     edges = sample.agg(F.count("*").alias("n"), F.sum("y").alias("pos"), *(F.percentile_approx(c, steps, 10_000).alias(c) for c in names)).first()
     n, positive = edges["n"], edges["pos"] or 0.0
     prior = positive / n if n else 0.5
-    model = UrlModel(suffixes=suffixes, prior=prior)
+    model = UrlModel(suffixes=suffixes, prior=share)
     if not n or positive in (0.0, float(n)):
         model.base = -20.0
         return model
@@ -211,9 +225,27 @@ def fit(labelled: DataFrame, trees: int = 8, depth: int = 3, rate: float = 0.4,
         for _ in range(depth):
             _grow(graded, root, names, cuts, rate)
         model.trees.append(root)
+    model.base -= _best_margin(every.where("__back"), model)
     return model
 
 
+def _best_margin(back: DataFrame, model: UrlModel, width: float = 0.05, reach: float = 10.0) -> float:
+    """The margin at which the share of blocked URLs above it exceeds that of allowed ones most."""
+    cell = F.floor(F.greatest(F.least(model.margin(), F.lit(reach)), F.lit(-reach)) / width).cast("int").alias("cell")
+    cells = sorted(tuple(r) for r in back.groupBy(cell).agg(F.sum(1 - F.col("y")).alias("allowed"), F.sum("y").alias("blocked")).collect())
+    allowed, blocked = (sum(c[i] for c in cells) for i in (1, 2))
+    if not allowed or not blocked:
+        return 0.0
+    best, at = 0.0, 0.0
+    below_allowed = below_blocked = 0.0
+    for (cell_, a, b), following in zip(cells, [*cells[1:], None], strict=True):
+        below_allowed, below_blocked = below_allowed + a, below_blocked + b
+        gain = below_allowed / allowed - below_blocked / blocked
+        if following and gain > best + 1e-12:
+            best, at = gain, width * (cell_ + 1 + following[0]) / 2  # halfway to the next cell that has URLs
+    return at
+
+
 def _grow(graded: DataFrame, root: Tree, names: list[str], cuts: dict[str, list[float]], rate: float, ridge: float = 1.0) -> None:
     """Split every leaf of ``root`` where that gains most; set leaf values."""
     cells = graded.select(root.leaf_index().alias("leaf"), "__g", "__h", F.explode("__bins").alias("cell"))

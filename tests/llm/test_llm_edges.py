@@ -72,6 +72,30 @@ def test_url_trees_learn(spark):
     assert scored.where("(p >= 0.5) = (y = 1)").count() > 0.95 * scored.count()
 
 
+def test_url_scores_by_brute_force(spark):
+    """The CASE expression scores as a walk over the trees does, with statistics counted by hand."""
+    random.seed(4)
+    hosts = [f"{a}.{b}.{c}" for a in ("www", "m", "shop") for b in ("one", "two", "three") for c in ("org", "net")]
+    rows = [(f"http://{random.choice(hosts)}/{'x' * random.randint(0, 30)}{random.randint(0, 10**6)}", 0) for _ in range(400)]
+    rows = [(u, int("two" in u or (".net" in u and random.random() < 0.6))) for u, _ in rows]
+    model = urls.fit(spark.createDataFrame(rows, "url string, y int"))
+    share = sum(y for _, y in rows) / len(rows)
+    host = lambda u: u.split("/")[2]
+    new = [f"https://{random.choice(hosts)}/{i}?a={i % 7}" for i in range(60)] + ["http://unseen.example/", None, "x"]
+    shown = urls._with_features(spark.createDataFrame([(u,) for u in new], "url string").withColumn("__url", F.col("url")), model.suffixes, model.prior)
+    for r in shown.withColumn("p", model.probability()).collect():
+        for k in urls.LABELS:
+            end = ".".join(host(r["url"]).split(".")[-k:]) if r["url"] and "//" in r["url"] else ""
+            same = [y for u, y in rows if ".".join(host(u).split(".")[-k:]) == end]
+            assert r[f"__f_suffix{k}_rate"] == pytest.approx((sum(same) + 10 * share) / (len(same) + 10))
+        margin = model.base
+        for tree in model.trees:
+            while tree.low is not None:
+                tree = tree.low if r[tree.feature] < tree.threshold else tree.high
+            margin += tree.value
+        assert r["p"] == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
 # -- op2
 
 
