@@ -9,6 +9,7 @@ from gridloom.functions.geo import num
 from gridloom.functions.parse import CHUNK_FILE, chunk_key, chunk_of_file
 from gridloom.functions.predicates import tiff_intact
 from gridloom.operators.grid import batches
+from gridloom.staging import stage
 
 LEDGER = "key string, status string, file string"
 BATCH = 10_000  # sources of one mosaic part
@@ -91,3 +92,47 @@ def mosaic_parts(chunks: DataFrame) -> DataFrame:
     if chunks.limit(FLAT + 1).count() <= FLAT:
         return chunks.withColumn("part", F.lit(0).cast("long"))
     return batches(chunks, BATCH, "row", "col").withColumnRenamed("batch", "part")
+
+
+TOP_VRT = "mosaic.vrt"
+_VRT_KINDS = {"uint8": "Byte", "uint16": "UInt16", "int16": "Int16", "uint32": "UInt32", "int32": "Int32", "float32": "Float32", "float64": "Float64"}
+
+
+def _vrt(sources: DataFrame, key: str, bands: int, kind: str) -> DataFrame:
+    """A document for each ``key``: ``value`` and the box of its sources (``file, x, y, w, h, left, top, px, py``)."""
+    ends = [F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1")]
+    frame = [F.min("left").alias("left"), F.max("top").alias("top"), F.first("px").alias("px"), F.first("py").alias("py")]
+    listed = F.array_sort(F.collect_list(F.struct("y", "x", "w", "h", "file"))).alias("listed")
+    g = sources.groupBy(key).agg(*ends, *frame, listed)
+    text = lambda c: c.cast("string")
+
+    def source(s: Column, band: int) -> Column:
+        size = F.concat(F.lit(' xSize="'), text(s["w"]), F.lit('" ySize="'), text(s["h"]), F.lit('"/>'))
+        place = F.concat(F.lit('<DstRect xOff="'), text(s["x"] - F.col("x0")), F.lit('" yOff="'), text(s["y"] - F.col("y0")), F.lit('"'), size)
+        return F.concat(F.lit('<SimpleSource><SourceFilename relativeToVRT="1">'), s["file"], F.lit(f'</SourceFilename><SourceBand>{band}</SourceBand><SrcRect xOff="0" yOff="0"'), size, place, F.lit("</SimpleSource>"))
+
+    of_band = lambda b: lambda s: source(s, b)
+    whole = [F.concat(F.lit(f'<VRTRasterBand dataType="{_VRT_KINDS[kind]}" band="{b}">'), F.concat_ws("", F.transform("listed", of_band(b))), F.lit("</VRTRasterBand>")) for b in range(1, bands + 1)]
+    affine = F.concat_ws(", ", text(F.col("left")), text(F.col("px")), F.lit("0"), text(F.col("top")), F.lit("0"), text(-F.col("py")))
+    head = F.concat(F.lit('<VRTDataset rasterXSize="'), text(F.col("x1") - F.col("x0")), F.lit('" rasterYSize="'), text(F.col("y1") - F.col("y0")), F.lit('"><SRS>EPSG:3857</SRS><GeoTransform>'), affine, F.lit("</GeoTransform>"))
+    return g.withColumn("value", F.concat(head, *whole, F.lit("</VRTDataset>"))).drop("listed")
+
+
+def vrt_documents(chunks: DataFrame, bands: int, kind: str = "uint8", chunk: int = 256) -> DataFrame:
+    """``name, value``: virtual mosaics of chunk files (rows of ``chunk_grid``).
+
+    Up to ``FLAT`` chunks are in one document; more are in documents of ``BATCH``, over which the top one
+    stands.  So no document has more sources than ``FLAT``, or one a ``BATCH`` of chunks.
+    """
+    file = F.concat(F.lit("chunk_"), F.col("col").cast("string"), F.lit("_"), F.col("row").cast("string"), F.lit(".tif"))
+    px, py = (F.col("xmax") - F.col("xmin")) / F.col("w"), (F.col("ymax") - F.col("ymin")) / F.col("h")
+    placed = mosaic_parts(chunks).select(
+        "part", file.alias("file"), (F.col("col") * chunk).alias("x"), (F.col("row") * chunk).alias("y"), F.col("w").cast("long").alias("w"), F.col("h").cast("long").alias("h"),
+        F.col("xmin").alias("left"), F.col("ymax").alias("top"), px.alias("px"), py.alias("py"),
+    )
+    parts = stage(_vrt(placed, "part", bands, kind), "mosaic-parts")
+    if parts.limit(2).count() < 2:
+        return parts.select(F.lit(TOP_VRT).alias("name"), "value")
+    named = parts.withColumn("file", F.concat(F.lit("mosaic_"), F.col("part").cast("string"), F.lit(".vrt")))
+    over = named.select(F.lit(0).alias("top_part"), "file", F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"), "left", "top", "px", "py")
+    return named.select(F.col("file").alias("name"), "value").unionByName(_vrt(over, "top_part", bands, kind).select(F.lit(TOP_VRT).alias("name"), "value"))

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.geo import EARTH_RADIUS, num, pixels_across
+from gridloom.functions import crs
+from gridloom.functions.geo import num, pixels_across
 
 
 def target_resolution(rasters: DataFrame) -> DataFrame:
@@ -37,17 +38,9 @@ def first_valid(pixels: DataFrame, *keys: str, value: str = "v", order: str = "s
     return pixels.groupBy(*keys).agg(F.min_by(F.when(valid.isNotNull(), F.col(value)), valid).alias(value))
 
 
-def _source_position(lat: np.ndarray, lon: np.ndarray, epsg: int) -> tuple[np.ndarray, np.ndarray]:
-    if epsg in (4326, 4269, 0):
-        return lon, lat
-    if epsg in (3857, 102100):
-        return EARTH_RADIUS * np.radians(lon), EARTH_RADIUS * np.log(np.tan(np.pi / 4 + np.radians(lat) / 2))
-    raise ValueError(f"EPSG:{epsg} is not supported: sources must be in 4326, 4269 or 3857")
-
-
 def resample(values: np.ndarray, left: float, top: float, px: float, py: float, epsg: int, lat: np.ndarray, lon: np.ndarray, nodata: float = np.nan) -> np.ndarray:
     """Bilinear values of one band at the given places; NaN outside, and where a neighbour that counts has no data."""
-    x, y = _source_position(lat, lon, epsg)
+    x, y = crs.projected(epsg, lat, lon)
     u, v = (x - left) / px - 0.5, (top - y) / py - 0.5
     h, w = values.shape
     inside = (u >= -0.5) & (u <= w - 0.5) & (v >= -0.5) & (v <= h - 0.5)

@@ -54,10 +54,40 @@ def _sampled(image: np.ndarray, u: np.ndarray, v: np.ndarray, how: str) -> np.nd
     return np.rint(mixed).astype(image.dtype)
 
 
-def pyramid_tiles(chunks: DataFrame, zoom: int, resampling: str = "bilinear", pixels: int = TILE_PIXELS) -> DataFrame:
+def _cubic(x: np.ndarray) -> np.ndarray:
+    x = np.abs(x)
+    return np.where(x < 1, (1.5 * x - 2.5) * x * x + 1, np.where(x < 2, ((-0.5 * x + 2.5) * x - 4) * x + 2, 0.0))
+
+
+def _lanczos(x: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+
+
+#: Kernels that are widened where a tile's pixels are larger than a chunk's.
+KERNELS = {"average": lambda x: np.where(np.abs(x) <= 0.5, 1.0, 0.0), "cubic": _cubic, "lanczos": _lanczos}
+RESAMPLING = ("near", "bilinear", *KERNELS)
+
+
+def _weights(kernel, places: np.ndarray, size: int) -> np.ndarray:
+    """(places, size): each place's share of every pixel; places are in the chunk's pixels."""
+    step = max(float(places[1] - places[0]) if len(places) > 1 else 1.0, 1.0)
+    w = kernel((np.arange(size)[None, :] + 0.5 - np.clip(places, 0.5, size - 0.5)[:, None]) / step)
+    total = w.sum(axis=1, keepdims=True)
+    nearest = np.clip(np.floor(places), 0, size - 1)[:, None] == np.arange(size)
+    return np.where(np.abs(total) > 1e-9, w / np.where(np.abs(total) > 1e-9, total, 1), nearest)
+
+
+def _filtered(image: np.ndarray, u: np.ndarray, v: np.ndarray, how: str) -> np.ndarray:
+    """(len(v), len(u), channels): the chunk at a grid of places, by a separable kernel."""
+    rows = np.tensordot(_weights(KERNELS[how], v, image.shape[0]), image.astype(float), (1, 0))
+    both = np.tensordot(rows, _weights(KERNELS[how], u, image.shape[1]), (1, 1)).transpose(0, 2, 1)
+    return np.clip(np.rint(both), 0, np.iinfo(image.dtype).max if image.dtype.kind == "u" else np.inf).astype(image.dtype)
+
+
+def pyramid_tiles(chunks: DataFrame, zoom: int, resampling: str = "lanczos", pixels: int = TILE_PIXELS) -> DataFrame:
     """``z, x, y, content`` (RGBA PNG, transparent where no chunk reaches) from chunks with ``row, col`` and PNG or TIFF ``content``."""
-    if resampling not in ("near", "bilinear"):
-        raise ValueError("resampling is near or bilinear")
+    if resampling not in RESAMPLING:
+        raise ValueError(f"resampling is one of {', '.join(RESAMPLING)}")
 
     def cut(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         x, y = (int(k) for k in key)
@@ -72,7 +102,14 @@ def pyramid_tiles(chunks: DataFrame, zoom: int, resampling: str = "bilinear", pi
             if inside.any():
                 u = (east[inside] - c.xmin) / (c.xmax - c.xmin) * image.shape[1]
                 v = (c.ymax - north[inside]) / (c.ymax - c.ymin) * image.shape[0]
-                out[inside, :3] = _sampled(image, u, v, resampling)
+                if resampling in KERNELS:
+                    rows, cols = inside.any(axis=1), inside.any(axis=0)
+                    across = (east[0, cols] - c.xmin) / (c.xmax - c.xmin) * image.shape[1]
+                    down = (c.ymax - north[rows, 0]) / (c.ymax - c.ymin) * image.shape[0]
+                    whole = _filtered(image, across, down, resampling)
+                    out[inside, :3] = whole[inside[np.ix_(rows, cols)]]
+                else:
+                    out[inside, :3] = _sampled(image, u, v, resampling)
                 out[inside, 3] = 255
                 empty &= ~inside
         return pd.DataFrame([(zoom, x, y, encode_png(out))], columns=["z", "x", "y", "content"])

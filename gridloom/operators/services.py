@@ -17,10 +17,6 @@ METADATA = (
     "tileInfo struct<lods:array<struct<resolution:double>>>, minPixelSize double, pixelSizeX double, meanPixelSize double"
 )
 
-#: Registries beyond this many services are joined without broadcast.
-BROADCAST_SERVICES = 10_000
-
-
 class AmbiguousServiceError(ValueError):
     """Several services cover the area; ``candidates`` are their keys in order."""
 
@@ -80,20 +76,16 @@ def harvest(items: DataFrame) -> DataFrame:
 
 
 def _candidates(aois: DataFrame, services: DataFrame, kind: str) -> DataFrame:
-    """Pairs of areas and services of the kind whose coverage holds the area's center."""
+    """Pairs of areas and services of the kind whose coverage holds the area's center: an equi-join on ten-degree cells."""
     offered = services.where(supports_kind(F.col("kinds"), kind)).select("key", "coverage")
-    few = offered.limit(BROADCAST_SERVICES + 1).count() <= BROADCAST_SERVICES
     box = Coverage(F.col("coverage")).box()
     center_x, center_y = (F.col("min_lon") + F.col("max_lon")) / 2, (F.col("min_lat") + F.col("max_lat")) / 2
     area = {"x0": F.col("min_lon"), "y0": F.col("min_lat"), "x1": F.col("max_lon"), "y1": F.col("max_lat")}
-    if few:
-        met = aois.join(F.broadcast(offered), contains_point(box, center_x, center_y))
-    else:
-        # ten-degree cells turn the containment into an equi-join
-        cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / 10).cast("long"), F.floor(hi / 10).cast("long")))
-        by_cell = offered.withColumn("cx", cells(box["x0"], box["x1"])).withColumn("cy", cells(box["y0"], box["y1"]))
-        located = aois.withColumns({"cx": F.floor(center_x / 10).cast("long"), "cy": F.floor(center_y / 10).cast("long")})
-        met = located.join(by_cell, ["cx", "cy"]).where(contains_point(box, center_x, center_y)).drop("cx", "cy")
+    proper = offered.where((box["x0"] <= box["x1"]) & (box["y0"] <= box["y1"]))
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / 10).cast("long"), F.floor(hi / 10).cast("long")))
+    by_cell = proper.withColumn("cx", cells(box["x0"], box["x1"])).withColumn("cy", cells(box["y0"], box["y1"]))
+    located = aois.withColumns({"cx": F.floor(center_x / 10).cast("long"), "cy": F.floor(center_y / 10).cast("long")})
+    met = located.join(by_cell, ["cx", "cy"]).where(contains_point(box, center_x, center_y)).drop("cx", "cy")
     return met.withColumn("inside", contains_box(box, area))
 
 
@@ -121,7 +113,7 @@ def choose(aois: DataFrame, services: DataFrame, kind: str = "imagery", index: i
 def select_service(aoi: DataFrame, services: DataFrame, kind: str = "imagery", index: int | None = None) -> str:
     """The key of the service for a single area, or the error that its status stands for."""
     if services.where(supports_kind(F.col("kinds"), kind)).isEmpty():
-        raise ValueError(f"No {kind} services are cached; refresh the registry first")
+        raise ValueError(f"the registry has no {kind} service; refresh it")
     row = choose(aoi, services, kind, index).first()
     if row["status"] == "ok":
         return row["key"]
@@ -130,8 +122,8 @@ def select_service(aoi: DataFrame, services: DataFrame, kind: str = "imagery", i
         raise AmbiguousServiceError(keys, kind)
     raise ValueError(
         {
-            "no_service": f"the area's center is not inside any registered {kind} service",
-            "straddles": f"the area extends outside every covering {kind} service; reduce the view distance or move the center",
-            "index_out_of_range": f"service index {index} is out of range; {len(keys)} service(s) cover this area: {', '.join(keys)}",
+            "no_service": f"no {kind} service of the registry holds the area's center",
+            "straddles": f"every {kind} service at the center ends within the area; make the area smaller or move it",
+            "index_out_of_range": f"there is no candidate {index}; from 0 on there are {', '.join(keys)}",
         }[row["status"]]
     )

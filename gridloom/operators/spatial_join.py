@@ -4,7 +4,7 @@ A bare overlap predicate plans as a nested-loop join over all pairs.  Here each
 the cells it lies in, boxes meet in equal cells, and a pair counts only in the cell that holds
 the lower-left corner of its common part, so no pair is made twice and no distinct is needed.
 
-Cells of the lowest level are about as large as an average box.  A larger box lives on a level
+Cells of the lowest level are twice as large as the median box.  A larger box lives on a level
 whose cells are at least its size, so any box lies in four cells at most; smaller boxes visit it
 there, on each level that has boxes.  AQE splits cells that hold very many.
 """
@@ -24,8 +24,8 @@ AXES = ("x0", "y0", "x1", "y1")
 
 
 def cell_size(*boxes: DataFrame) -> float:
-    """Twice the mean extent of the boxes: one small aggregation."""
-    sizes = [b.agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] for b in boxes]
+    """Twice the median extent of the boxes: one small aggregation."""
+    sizes = [b.agg(F.percentile_approx(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), 0.5, 200)).first()[0] for b in boxes]
     return 2 * max([s for s in sizes if s] or [0.5])
 
 

@@ -29,6 +29,14 @@ def inside_area(min_x: float, min_y: float, max_x: float, max_y: float) -> Colum
     return (F.col("west_x") <= num(max_x)) & (F.col("east_x") >= num(min_x)) & (F.col("south_y") <= num(max_y)) & (F.col("north_y") >= num(min_y))
 
 
+class EmptyLevelError(ValueError):
+    """A level that was asked for has no tile left; ``level`` and ``available`` tell which ones have."""
+
+    def __init__(self, level: int, available: list[int]):
+        self.level, self.available = level, available
+        super().__init__(f"level {level} has no tiles in the area; levels with tiles: {available}")
+
+
 def available_levels(tiles: DataFrame) -> list[int]:
     return [r[0] for r in tiles.select("level").distinct().orderBy("level").collect()]
 
@@ -36,14 +44,14 @@ def available_levels(tiles: DataFrame) -> list[int]:
 def select_level(tiles: DataFrame, level: int | None = None) -> DataFrame:
     """Tiles of one level: the asked one, or the highest that has any.
 
-    An asked level without tiles is a ValueError that names the available ones.
+    An asked level without tiles is an EmptyLevelError that names the available ones.
     """
     if level is None:
         highest = tiles.agg(F.max("level").alias("__top"))
         return tiles.join(F.broadcast(highest), F.col("level") == F.col("__top")).drop("__top")
     kept = tiles.where(F.col("level") == level)
     if kept.isEmpty():
-        raise ValueError(f"No surviving tiles at LOD {level}; available: {available_levels(tiles)}")
+        raise EmptyLevelError(level, available_levels(tiles))
     return kept
 
 

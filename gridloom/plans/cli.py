@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
-from gridloom.operators import services
+from gridloom.operators import pyramid, services
 from gridloom.plans import pipelines
 from gridloom.sources import manifest, remote
 
@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
 
     p = sub.add_parser("gather-ortho", help="gather a tile cache or pyramid, or find scenes")
     p.add_argument("--source", choices=("arcgis", "download", "usgs"), default="arcgis")
-    p.add_argument("--input_dir", required=True)
+    p.add_argument("--input_dir", help="cache, pyramid or scenes; not needed with --catalogue")
     p.add_argument("--output_dir", required=True)
     p.add_argument("--shape_file")
     _compose(p)
@@ -43,6 +43,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--lod_min", type=int)
     p.add_argument("--lod_max", type=int)
     p.add_argument("--elevation_data_dir")
+    p.add_argument("--catalogue", help="URL of a scene catalogue to search and download from (source usgs)")
+    p.add_argument("--env_file", default=".env", help="credentials of the catalogue")
+    p.add_argument("--start")
+    p.add_argument("--end")
+    p.add_argument("--post", default="gridloom.sources.remote:http_post")
+    p.add_argument("--file_transport", default="gridloom.sources.remote:http_file")
     p.add_argument("--elevation_padding_deg", type=float, default=0.0)
 
     for name, helped in (("download-arcgis", "fetch imagery"), ("download-elevation", "fetch elevation")):
@@ -59,7 +65,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--chunk_px", type=int, default=256)
         if name == "download-arcgis":
             p.add_argument("--lod", type=int)
-            p.add_argument("--resampling", choices=("near", "bilinear"), default="bilinear")
+            p.add_argument("--resampling", choices=pyramid.RESAMPLING, default="lanczos")
             p.add_argument("--tms", action="store_true")
             p.add_argument("--skip_mosaic", action="store_true")
         else:
@@ -135,7 +141,19 @@ def main(argv: Sequence[str] | None = None) -> int:
 
 def _run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.command == "gather-ortho":
-        if a.source == "usgs":
+        if a.source == "usgs" and a.catalogue:
+            if not a.shape_file:
+                raise ValueError("searching a catalogue needs a shape")
+            where = manifest.read_shape(spark, a.shape_file).first()
+            client = remote.CatalogueClient(a.catalogue, remote.named(a.post))
+            client.login = remote.credentials(a.env_file)
+            with client:
+                got = pipelines.download_scenes(spark, client, where["lat"], where["lon"], where["miles"], a.output_dir, a.start, a.end, transport=a.file_transport)
+            failed = got.where("file IS NULL").count()
+            if failed:
+                print(f"{failed} scenes could not be downloaded", file=sys.stderr)
+                return 1
+        elif a.source == "usgs":
             scenes = spark.read.schema("id long, metadata array<struct<fieldName:string,value:string>>").json(a.input_dir)
             pipelines.scene_representatives(pipelines.scene_boxes(scenes)).write.mode("overwrite").parquet(a.output_dir)
         elif a.source == "download":

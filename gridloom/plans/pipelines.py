@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import os
 import shutil
+import struct
+import time
+import zlib
 from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.geo import METERS_PER_DEGREE, box_around, box_by_meters, corners, extremes, halves, native_lod, num, pixel_size, projected, scaled_cell
+from gridloom.functions import crs
+from gridloom.functions.geo import METERS_PER_DEGREE, box_around, box_bounds, box_by_meters, corners, extremes, halves, native_lod, num, pixel_size, projected, scaled_cell
 from gridloom.functions.parse import basename, chunk_key, corner_fields, tile_name, xyz_path
 from gridloom.functions.predicates import check_arguments, checked_lod, overlaps_open
 from gridloom.operators import chunks, coverage, grid, mosaic, pyramid, raster, services, spatial_join, windows
@@ -225,7 +229,7 @@ def merge_elevation(spark: SparkSession, folder: str, shape: str, output_dir: st
         raise ValueError("no elevation file reaches the area")
     if not regions.where("covered").limit(1).count():
         warnings.warn("no region of elevation files covers the whole area", stacklevel=2)
-    in_degrees = lambda c: F.when(F.col("epsg").isin(3857, 102100), F.col(c) / num(METERS_PER_DEGREE)).otherwise(F.col(c)).alias(c)
+    in_degrees = lambda c: F.when(F.col("epsg").isin(*crs.DEGREES), F.col(c)).otherwise(F.col(c) / num(METERS_PER_DEGREE)).alias(c)
     fine = mosaic.target_resolution(near.select(in_degrees("px"), in_degrees("py")))
     px, py = fine.first()
     size = mosaic.target_size(area["min_lon"], area["min_lat"], area["max_lon"], area["max_lat"], fine).first()
@@ -234,16 +238,24 @@ def merge_elevation(spark: SparkSession, folder: str, shape: str, output_dir: st
     bands = tiff.bands(sources)
     blocks = mosaic.mosaic_blocks(mosaic.reprojected(bands, area["min_lon"], area["max_lat"], px, py, size["width"], size["height"]))
     first = heads.join(order.where("src_seq = 1"), "path").first()
-    out = np.full((first["bands"], size["height"], size["width"]), np.nan)
-    for b in blocks.toLocalIterator():
-        y, x = b["block_y"] * 256, b["block_x"] * 256
-        out[b["band"] - 1, y : y + b["h"], x : x + b["w"]] = np.frombuffer(b["data"]).reshape(b["h"], b["w"])
     dtype = np.dtype(first["dtype"])
-    if dtype.kind != "f":
-        out = np.where(np.isnan(out), np.iinfo(dtype).min, np.rint(out))
+    empty = np.nan if dtype.kind == "f" else np.iinfo(dtype).min
+
+    def packed(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for b in frame.itertuples(index=False):
+                values = np.frombuffer(b.data).reshape(b.h, b.w)
+                values = values if dtype.kind == "f" else np.where(np.isnan(values), empty, np.rint(values))
+                out.append((b.band, b.block_y, b.block_x, tiff.deflated(values, dtype.name, empty)))
+            yield pd.DataFrame(out, columns=["band", "y", "x", "content"])
+
+    # tasks deflate the tiles; the driver writes them as they come, a partition at a time
+    tiles = blocks.mapInPandas(packed, "band int, y int, x int, content binary")
     name = "merged_elevation.tif"
-    with open(os.path.join(output_dir, name), "wb") as f:
-        f.write(tiff.encode(out.astype(dtype), area["min_lon"], area["max_lat"], px, py, 4326, float("nan")))
+    with tiff.TiledFile(os.path.join(output_dir, name), size["width"], size["height"], first["bands"], dtype.name, area["min_lon"], area["max_lat"], px, py, 4326, empty, float("nan")) as merged:
+        for t in tiles.toLocalIterator():
+            merged.add(t["band"] - 1, t["y"], t["x"], t["content"])
     with open(os.path.join(output_dir, ".star_ignore_merged_elevation"), "w"):
         pass
     return name
@@ -294,14 +306,77 @@ def fetch_missing(spark: SparkSession, plan: DataFrame, service: dict, folder: s
     left = stage(chunks.remaining(plan, ledger, chunks.verified(named)), "left")
     got = stage(remote.fetch_chunks(left, service["base_url"], service["srs"], pixel_type=pixel_type, retries=retries, timeout=timeout, transport=transport), "fetched")
     name = F.concat(F.lit("chunk_"), F.col("col").cast("string"), F.lit("_"), F.col("row").cast("string"), F.lit(".tif"))
-    write_files(got.where("status = 'downloaded'").select(name.alias("name"), "content"), folder)
+    write_files(georeferenced(got.where("status = 'downloaded'").withColumn("name", name)), folder)
     news = got.select(chunk_key(F.col("row"), F.col("col")).alias("key"), "status", F.when(F.col("status") == "downloaded", name).alias("file"))
     whole = stage(chunks.updated(ledger, news), "ledger")
     manifest.write_document(manifest.ledger_document(whole), path)
     return whole
 
 
-def build_pyramid(spark: SparkSession, plan: DataFrame, folder: str, level: int, output_dir: str, resampling: str = "bilinear", tms: bool = False) -> int:
+def georeferenced(got: DataFrame) -> DataFrame:
+    """``name, content``: fetched images (with their boxes) as plain GeoTIFFs in Web Mercator; what can't be decoded stays as it came."""
+    columns = ["name", "xmin", "ymin", "xmax", "ymax", "content"]
+
+    def placed(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                try:
+                    values = pyramid.decode_image(r.content).transpose(2, 0, 1)
+                    content = tiff.encode(values, r.xmin, r.ymax, (r.xmax - r.xmin) / values.shape[2], (r.ymax - r.ymin) / values.shape[1], 3857, deflate=False)
+                except (ValueError, KeyError, struct.error, zlib.error):
+                    content = r.content
+                out.append((r.name, content))
+            yield pd.DataFrame(out, columns=["name", "content"])
+
+    return got.select(*columns).mapInPandas(placed, "name string, content binary")
+
+
+def write_mosaic(spark: SparkSession, plan: DataFrame, folder: str, chunk: int = 256) -> str:
+    """Virtual mosaics over the folder's chunk files: one document, or one a part and one over the parts. Returns the top one's path."""
+    have = scan.chunk_files(spark, folder).select("row", "col", F.substring("content", 1, 1 << 16).alias("head"))
+    first = have.limit(1).select("head").first()
+    if first is None:
+        raise ValueError(f"{folder} has no chunk files")
+    _, tags = tiff.tags(bytes(first["head"]))
+    kind = tiff.header(bytes(first["head"]))["dtype"]
+    docs = chunks.vrt_documents(plan.join(have.select("row", "col"), ["row", "col"], "left_semi"), tags[tiff.SAMPLES][0], kind, chunk)
+    write_files(docs.select("name", F.col("value").cast("binary").alias("content")), folder)
+    return os.path.join(folder, chunks.TOP_VRT)
+
+
+def mosaic_file(spark: SparkSession, plan: DataFrame, folder: str, path: str, chunk: int = 256) -> str:
+    """One tiled GeoTIFF of the folder's chunks (``chunk`` a multiple of 16): a chunk is a tile, deflated by its task."""
+    import numpy as np
+
+    have = scan.chunk_files(spark, folder).select("row", "col", "content")
+    met = stage(plan.join(have, ["row", "col"]), "mosaic")
+    found = met.agg(F.min("xmin").alias("left"), F.max("ymax").alias("top"), F.min("row").alias("row"), F.min("col").alias("col")).first()
+    first = met.orderBy("row", "col").first()
+    if first is None:
+        raise ValueError(f"{folder} has no chunk files")
+    image = pyramid.decode_image(bytes(first["content"]))
+    px, py = (first["xmax"] - first["xmin"]) / first["w"], (first["ymax"] - first["ymin"]) / first["h"]
+    size = met.agg(F.max((F.col("col") - found["col"]) * chunk + F.col("w")).alias("w"), F.max((F.col("row") - found["row"]) * chunk + F.col("h")).alias("h")).first()
+    dtype, bands = image.dtype.name, image.shape[2]
+    empty = np.nan if image.dtype.kind == "f" else 0
+
+    def packed(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                values = pyramid.decode_image(r.content).transpose(2, 0, 1)
+                out += [(b, int(r.row) - found["row"], int(r.col) - found["col"], tiff.deflated(values[b], dtype, empty, chunk)) for b in range(bands)]
+            yield pd.DataFrame(out, columns=["band", "y", "x", "content"])
+
+    tiles = met.select("row", "col", "content").mapInPandas(packed, "band int, y long, x long, content binary")
+    with tiff.TiledFile(path, size["w"], size["h"], bands, dtype, found["left"], found["top"], px, py, 3857, empty, empty if image.dtype.kind == "f" else None, chunk) as out:
+        for t in tiles.toLocalIterator():
+            out.add(t["band"], t["y"], t["x"], t["content"])
+    return path
+
+
+def build_pyramid(spark: SparkSession, plan: DataFrame, folder: str, level: int, output_dir: str, resampling: str = "lanczos", tms: bool = False) -> int:
     """Cut the folder's chunks into the level's tiles, ``<z>/<x>/<y>.png``, rows counted from the north or (``tms``) the south."""
     have = scan.chunk_files(spark, folder).select("row", "col", "content")
     tiles = pyramid.pyramid_tiles(plan.join(have, ["row", "col"]), level, resampling)
@@ -309,7 +384,7 @@ def build_pyramid(spark: SparkSession, plan: DataFrame, folder: str, level: int,
     return write_files(tiles.select(xyz_path(F.col("z"), y, F.col("x")).alias("name"), "content"), output_dir)
 
 
-def download_imagery(spark: SparkSession, lat: float, lon: float, miles: float, registry: DataFrame, output_dir: str, level: int | None = None, index: int | None = None, resampling: str = "bilinear", tms: bool = False, skip_mosaic: bool = False, chunk: int = 256, **fetching) -> DataFrame:
+def download_imagery(spark: SparkSession, lat: float, lon: float, miles: float, registry: DataFrame, output_dir: str, level: int | None = None, index: int | None = None, resampling: str = "lanczos", tms: bool = False, skip_mosaic: bool = False, chunk: int = 256, **fetching) -> DataFrame:
     """Chunks of the covering service, then its pyramid level; the chunks stay if some failed. Returns the ledger."""
     service, plan = download_plan(spark, lat, lon, miles, registry, level, "imagery", index, chunk=chunk)
     zoom = level if level is not None else service["native_lod"]
@@ -318,6 +393,7 @@ def download_imagery(spark: SparkSession, lat: float, lon: float, miles: float,
     ledger = fetch_missing(spark, plan, service, folder, "U8", **fetching)
     if ledger.where("status = 'downloaded'").isEmpty():
         raise RuntimeError("no chunk could be fetched")
+    write_mosaic(spark, plan, folder, chunk)
     if not skip_mosaic:
         build_pyramid(spark, plan, folder, zoom, output_dir, resampling, tms)
         if ledger.where("status <> 'downloaded'").isEmpty():
@@ -326,7 +402,7 @@ def download_imagery(spark: SparkSession, lat: float, lon: float, miles: float,
 
 
 def download_elevation(spark: SparkSession, lat: float, lon: float, miles: float, registry: DataFrame, output_dir: str, resolution: float | None = None, padding: float = 0.0, index: int | None = None, chunk: int = 256, **fetching) -> DataFrame:
-    """Float chunks of the covering elevation service, as georeferenced files. Returns the ledger."""
+    """Float chunks of the covering elevation service, as GeoTIFFs in Web Mercator. Returns the ledger."""
     import warnings
 
     service, plan = download_plan(spark, lat, lon, miles, registry, None, "elevation", index, resolution, padding, chunk)
@@ -343,23 +419,23 @@ def tiers(level: int) -> list[int]:
     return [17, 18, 19] if level >= 19 else [17, 18]
 
 
-def full_pass(tier_levels: list[int], gather_level: Callable[[int], DataFrame], download: Callable[[int], None], dimension: int = 2) -> dict[int, DataFrame]:
-    """Gather every tier from one download at the highest level.
+def _gathered(level: int, gather_level: Callable[[int], DataFrame]) -> DataFrame | None:
+    """The level's windows; None if it has no tiles."""
+    try:
+        return gather_level(level)
+    except windows.EmptyLevelError:
+        return None
 
-    A tier whose level has no tiles is downloaded by itself and gathered again; other errors end the pass.
-    """
+
+def full_pass(tier_levels: list[int], gather_level: Callable[[int], DataFrame], download: Callable[[int], None], dimension: int = 2) -> dict[int, DataFrame]:
+    """Windows of every tier, from one download at the highest level and one more for each tier that it left empty."""
     check_arguments(dimension=dimension, least_dimension=2)
     download(max(tier_levels))
-    out = {}
-    for level in tier_levels:
-        try:
-            out[level] = gather_level(level)
-        except ValueError as e:
-            if "No surviving tiles at LOD" not in str(e):
-                raise
-            download(level)
-            out[level] = gather_level(level)
-    return out
+    made = {level: _gathered(level, gather_level) for level in tier_levels}
+    for level in [k for k, plan in made.items() if plan is None]:
+        download(level)
+        made[level] = gather_level(level)
+    return made
 
 
 def process_terrain(spark: SparkSession, lat: float, lon: float, miles: float, registry: DataFrame, output_dir: str, dimension: int = 2, scale: float = 1.0, ultra: bool = False, with_elevation: bool = False, keep_tiles: bool = False, resume: bool = False, index: int | None = None, **fetching) -> dict[int, DataFrame]:
@@ -405,6 +481,32 @@ def scene_representatives(boxes: DataFrame, threshold: float = 0.9, criteria: st
     return spatial_join.representatives(boxes, grouped, criteria)
 
 
+def download_scenes(spark: SparkSession, client: remote.CatalogueClient, lat: float, lon: float, miles: float, output_dir: str, start: str | None = None, end: str | None = None, threshold: float = 0.9, criteria: str = "min_index", label: str = "gridloom", transport: str = "gridloom.sources.remote:http_file", sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Search, thin out, ask for and download scenes: ``entityId, file, error`` of the scenes that were kept.
+
+    The first aerial dataset at the area is searched; of scenes that overlap by ``threshold`` or more one
+    is kept, and its bounds are written beside its file.
+    """
+    one = spark.range(1).select(*(c.alias(k) for k, c in box_around(num(lat), num(lon), num(miles)).items())).first()
+    box = tuple(one[k] for k in ("min_lat", "min_lon", "max_lat", "max_lon"))
+    dataset = next((d["datasetAlias"] for d in client.datasets(box) if "Aerial" in (d.get("keywords") or "")), None)
+    if dataset is None:
+        raise ValueError("no aerial dataset at the area")
+    found = client.scenes(dataset, box, start, end)
+    rows = [(i, s["entityId"], [(m.get("fieldName"), None if m.get("value") is None else str(m["value"])) for m in s.get("metadata", [])]) for i, s in enumerate(found)]
+    scenes = spark.createDataFrame(rows, "id long, entityId string, metadata array<struct<fieldName:string,value:string>>")
+    boxes = stage(scene_boxes(scenes), "scene-boxes")
+    kept = scene_representatives(boxes, threshold, criteria).select("id").join(scenes, "id").join(boxes, "id")
+    kept = stage(kept.select("entityId", "x0", "y0", "x1", "y1"), "scenes-kept")
+    asked = [r["entityId"] for r in kept.select("entityId").collect()]  # a search gives 3000 scenes at most
+    ready = [(d.get("entityId") or d.get("displayId"), d["url"]) for d in remote.request_scenes(client, dataset, asked, label, sleep)] if asked else []
+    got = stage(remote.fetch_files(spark.createDataFrame(ready, "entityId string, url string").repartition(max(1, len(ready) // 8)), output_dir, transport=transport), "scene-files")
+    bounds = box_bounds(F.col("y1"), F.col("y0"), F.col("x0"), F.col("x1"))
+    sides = kept.join(got.where("file IS NOT NULL"), "entityId").select(F.concat(F.regexp_replace("file", r"\.[^.]*$", ""), F.lit(".json")).alias("name"), manifest.sidecar(bounds, F.col("file")).cast("binary").alias("content"))
+    write_files(sides, output_dir)
+    return got
+
+
 # -- archives ------------------------------------------------------------------------------------
 
 

@@ -131,9 +131,9 @@ def window_bounds(spark, sf_dir):
     return plan.select("origin_r", "origin_c", *(r(p[k], 9).alias(f"{n}_{k}") for n, p in parts.items() for k in ("lat", "lon")))
 
 
-@query("lod_select_max", "WITH t AS (SELECT l_linenumber AS level, count(*) AS n FROM lineitem WHERE l_quantity >= 25 GROUP BY 1) SELECT max(level) AS level, CAST(arg_max(n, level) AS BIGINT) AS n, string_agg(level::VARCHAR, ',' ORDER BY level) AS available FROM t")
+@query("lod_select_max", "WITH t AS (SELECT l_linenumber AS level, count(*) AS n FROM lineitem GROUP BY 1) SELECT max(level) AS level, CAST(arg_max(n, level) AS BIGINT) AS n, string_agg(level::VARCHAR, ',' ORDER BY level) AS available FROM t")
 def lod_select_max(spark, sf_dir):
-    tiles = d.table(spark, sf_dir, "lineitem").where("l_quantity >= 25").select(F.col("l_linenumber").alias("level"))
+    tiles = d.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("level"))
     known = tiles.agg(F.array_join(F.sort_array(F.collect_set("level")), ",").alias("available"))
     return windows.select_level(tiles).groupBy("level").agg(F.count("*").alias("n")).join(F.broadcast(known))
 
@@ -407,7 +407,7 @@ def service_select(spark, sf_dir):
 
 META_SQL = """items AS (SELECT event_id AS pos, 'https://host/arcgis/rest/services/svc_' || event_id % 40 || '/ImageServer' || CASE WHEN event_id % 3 = 0 THEN '/exportImage' ELSE '' END AS url,
   CASE WHEN event_id % 7 = 0 THEN value END AS pixel_size, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 0.0 ELSE value + 1 END AS min_pixel, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value + 2 END AS pixel_x,
-  value + 3 AS mean_pixel, CASE WHEN event_id % 6 = 0 THEN [value + 4, value + 5] END AS lods FROM events WHERE event_type <> 'error')"""
+  value + 3 AS mean_pixel, CASE WHEN event_id % 6 = 0 THEN [value + 4, value + 5] END AS lods FROM events)"""
 
 
 def _items(spark, sf_dir):
@@ -418,7 +418,7 @@ def _items(spark, sf_dir):
     min_pixel = F.when(k % 5 == 0, F.lit(None).cast("double")).when(k % 5 == 1, num(0)).otherwise(v + num(1))
     meta = F.struct(extent.alias("fullExtent"), lods.alias("tileInfo"), min_pixel.alias("minPixelSize"), F.when(k % 4 != 0, v + num(2)).alias("pixelSizeX"), (v + num(3)).alias("meanPixelSize"))
     url = F.concat(F.lit("https://host/arcgis/rest/services/svc_"), (k % 40).cast("string"), F.lit("/ImageServer"), F.when(k % 3 == 0, "/exportImage").otherwise(""))
-    return d.table(spark, sf_dir, "events").where("event_type <> 'error'").select(k.alias("pos"), url.alias("url"), F.when(k % 7 == 0, v).alias("pixel_size"), F.when(k % 2 == 0, F.array(F.lit("elevation"), F.lit("other"))).alias("kinds"), meta.alias("metadata"))
+    return d.table(spark, sf_dir, "events").select(k.alias("pos"), url.alias("url"), F.when(k % 7 == 0, v).alias("pixel_size"), F.when(k % 2 == 0, F.array(F.lit("elevation"), F.lit("other"))).alias("kinds"), meta.alias("metadata"))
 
 
 @query("service_native_pixel", f"WITH {META_SQL} SELECT pos, round(coalesce(list_min(lods), nullif(min_pixel, 0), nullif(pixel_x, 0), nullif(mean_pixel, 0)), 6) AS native FROM items")
@@ -476,9 +476,9 @@ def chunk_ledger_upsert(spark, sf_dir):
     return chunks.updated(empty, news).select("key", "status")
 
 
-@query("chunk_batches", 'SELECT "row", col, CAST((row_number() OVER (ORDER BY "row", col) - 1) // 100 AS BIGINT) AS batch FROM (SELECT DISTINCT 99000 + l_orderkey % 200 AS "row", 70000 + l_partkey % 150 AS col FROM lineitem WHERE l_linenumber = 1)')
+@query("chunk_batches", 'SELECT "row", col, CAST((row_number() OVER (ORDER BY "row", col) - 1) // 100 AS BIGINT) AS batch FROM (SELECT DISTINCT 99000 + l_orderkey % 200 AS "row", 70000 + l_partkey % 150 AS col FROM lineitem)')
 def chunk_batches(spark, sf_dir):
-    rows = d.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((99000 + F.col("l_orderkey") % 200).alias("row"), (70000 + F.col("l_partkey") % 150).alias("col")).distinct()
+    rows = d.table(spark, sf_dir, "lineitem").select((99000 + F.col("l_orderkey") % 200).alias("row"), (70000 + F.col("l_partkey") % 150).alias("col")).distinct()
     return grid.batches(rows, 100, "row", "col")
 
 
@@ -611,11 +611,11 @@ def page_metadata_scrape(spark, sf_dir):
     return scraped.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), scan.scraped_value("fields", "Language").alias("lang"), scan.scraped_value("fields", "Entity").alias("entity"))
 
 
-@query("known_file_lookup", "WITH k AS (SELECT 'project_' || p_size AS project, 's' || p_partkey AS file FROM part) SELECT l_orderkey AS id, l_linenumber AS line, project FROM lineitem JOIN k ON file = 's' || l_partkey WHERE l_linenumber = 1")
+@query("known_file_lookup", "WITH k AS (SELECT 'project_' || p_size AS project, 's' || p_partkey AS file FROM part) SELECT l_orderkey AS id, l_linenumber AS line, project FROM lineitem JOIN k ON file = 's' || l_partkey")
 def known_file_lookup(spark, sf_dir):
     lines = d.table(spark, sf_dir, "part").select(F.concat(F.lit("project_"), F.col("p_size").cast("string")).alias("project"), F.concat(F.lit("vol"), F.col("p_size").cast("string"), F.lit("/s"), F.col("p_partkey").cast("string")).alias("value"))
     known = lines.select("project", parse.basename(F.col("value")).alias("file"))
-    wanted = d.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("file"))
+    wanted = d.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("file"))
     return wanted.join(known, "file").select("id", "line", "project")
 
 
@@ -682,3 +682,5 @@ def chunk_stream_available_now(spark, sf_dir):
         ingest_rows(spark, "key string, status string, file string", f"{base}/in", f"{base}/ledger", f"{base}/checkpoint", 2).awaitTermination()
     return current_ledger(spark, f"{base}/ledger").select("key", "status")
 
+
+from gridloom.plans import roundtrips  # noqa: E402, F401  registers its queries here

@@ -10,7 +10,9 @@ from __future__ import annotations
 import importlib
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,14 @@ def http_get(url: str, params: dict, timeout: float) -> Response:
         return Response(e.code, e.headers.get("Content-Type", ""), b"")
 
 
+def http_file(url: str, timeout: float) -> tuple[str | None, bytes]:
+    """(the name that the server gives, the body) of a file."""
+    from urllib.request import urlopen
+
+    with urlopen(url, timeout=timeout) as r:
+        return r.headers.get_filename(), r.read()
+
+
 def http_post(url: str, body: dict, token: str | None, timeout: float) -> Response:
     from urllib.error import HTTPError
     from urllib.request import Request, urlopen
@@ -125,18 +135,32 @@ class ImageChunks(DataSource):
         return _ChunkReader(self.options)
 
 
-def fetch_chunks(chunks: DataFrame, url: str, srs: int = 3857, image_format: str = "tiff", pixel_type: str = "U8", retries: int = 5, timeout: float = 60, transport: str = "gridloom.sources.remote:http_get", per_task: int = 64) -> DataFrame:
-    """``FETCHED`` rows for a table of chunks of any size: each task fetches its own."""
+def rolling(work: Callable, items: Iterable, workers: int) -> Iterator:
+    """``work`` of every item, in their order; twice as many as ``workers`` are in flight at most, so items of any number stream."""
+    with ThreadPoolExecutor(workers) as pool:
+        held: deque = deque()
+        for item in items:
+            held.append(pool.submit(work, item))
+            if len(held) >= 2 * workers:
+                yield held.popleft().result()
+        while held:
+            yield held.popleft().result()
+
+
+def fetch_chunks(chunks: DataFrame, url: str, srs: int = 3857, image_format: str = "tiff", pixel_type: str = "U8", retries: int = 5, timeout: float = 60, transport: str = "gridloom.sources.remote:http_get", per_task: int = 64, workers: int = 4) -> DataFrame:
+    """``FETCHED`` rows for a table of chunks of any size: each task fetches its own, ``workers`` at once; a failure is a row."""
     import pandas as pd
 
     names = [c.split()[0] for c in CHUNK.split(", ")]
 
     def fetched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         get = named(transport)
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                body, attempts, error = fetch(get, url, export_request(row._asdict(), srs, image_format, pixel_type), retries, timeout)
-                yield pd.DataFrame([(*row, "downloaded" if body is not None else "failed", attempts, error, body)], columns=[c.split()[0] for c in FETCHED.split(", ")])
+
+        def one(row) -> pd.DataFrame:
+            body, attempts, error = fetch(get, url, export_request(row._asdict(), srs, image_format, pixel_type), retries, timeout)
+            return pd.DataFrame([(*row, "downloaded" if body is not None else "failed", attempts, error, body)], columns=[c.split()[0] for c in FETCHED.split(", ")])
+
+        yield from rolling(one, (row for frame in frames for row in frame.itertuples(index=False)), workers)
 
     tasks = max(1, -(-chunks.count() // per_task))
     return chunks.select(*names).repartition(tasks).mapInPandas(fetched, FETCHED)
@@ -263,5 +287,62 @@ def request_scenes(client: CatalogueClient, dataset: str, entities: list[str], l
     yield from await_downloads(client, label, wanted, sleep)
 
 
+def file_name(given: str | None, url: str, entity: str) -> str:
+    """The file's name: the server's, else the URL's last part, else the scene's; never a path."""
+    name = (given or url.partition("?")[0].rpartition("/")[2] or entity).replace("\\", "/").rpartition("/")[2]
+    return name if name not in ("", ".", "..") else entity
+
+
+def fetch_files(downloads: DataFrame, folder: str, attempts: int = 5, timeout: float = 600, transport: str = "gridloom.sources.remote:http_file", workers: int = 5) -> DataFrame:
+    """Write the files of ``entityId, url`` into a folder that all executors share: ``entityId, file, error``.
+
+    A task has ``workers`` files in flight; each is asked for ``attempts`` times at most, written aside
+    and renamed.  A file that never comes is a row with its error.
+    """
+    import os
+
+    import pandas as pd
+
+    def fetched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = named(transport)
+
+        def one(row) -> pd.DataFrame:
+            error = None
+            for _ in range(attempts):
+                try:
+                    given, body = get(row.url, timeout)
+                except OSError as e:
+                    error = str(e)
+                    continue
+                path = os.path.join(folder, file_name(given, row.url, row.entityId))
+                with open(aside := f"{path}.{row.entityId}.tmp", "wb") as f:
+                    f.write(body)
+                os.replace(aside, path)
+                return pd.DataFrame([(row.entityId, os.path.basename(path), None)], columns=["entityId", "file", "error"])
+            return pd.DataFrame([(row.entityId, None, error)], columns=["entityId", "file", "error"])
+
+        yield from rolling(one, (row for frame in frames for row in frame.itertuples(index=False)), workers)
+
+    os.makedirs(folder, exist_ok=True)
+    return downloads.select("entityId", "url").mapInPandas(fetched, "entityId string, file string, error string")
+
+
+def credentials(path: str = ".env", user: str = "CATALOGUE_USER", token: str = "CATALOGUE_TOKEN") -> tuple[str, str]:
+    """User and token, from the environment or else from a file of ``NAME=value`` lines."""
+    import os
+
+    found = {}
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            for line in f:
+                name, sep, value = line.strip().removeprefix("export ").partition("=")
+                if sep and not name.startswith("#"):
+                    found[name.strip()] = value.strip().strip("'\"")
+    found |= {k: os.environ[k] for k in (user, token) if k in os.environ}
+    if missing := [k for k in (user, token) if not found.get(k)]:
+        raise ValueError(f"credentials are missing: {', '.join(missing)}")
+    return found[user], found[token]
+
+
 def published_dates(scenes: DataFrame) -> DataFrame:
     return scenes.select("publishDate").where("publishDate IS NOT NULL").distinct().orderBy("publishDate")

@@ -7,6 +7,7 @@ Written: deflate strips with pixel scale, tie point and EPSG key.
 from __future__ import annotations
 
 import math
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from gridloom.functions.geo import EARTH_RADIUS
+from gridloom.functions import crs
 
 # TIFF tags and field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317
@@ -70,12 +71,14 @@ def header(data: bytes) -> dict:
 def world_bounds(h: dict) -> tuple[float, float, float, float]:
     """min_lat, min_lon, max_lat, max_lon; an unknown system is taken as degrees."""
     x0, y0, x1, y1 = h["left"], h["top"] - h["height"] * h["py"], h["left"] + h["width"] * h["px"], h["top"]
-    if h["epsg"] in (0, 4326, 4269):
+    if h["epsg"] in crs.DEGREES:
         return y0, x0, y1, x1
-    if h["epsg"] in (3857, 102100):
-        lat = lambda y: math.degrees(2 * math.atan(math.exp(y / EARTH_RADIUS)) - math.pi / 2)
-        return lat(y0), math.degrees(x0 / EARTH_RADIUS), lat(y1), math.degrees(x1 / EARTH_RADIUS)
-    raise ValueError(f"EPSG:{h['epsg']} is not supported: sources must be in 4326, 4269 or 3857")
+    # edges are bent: points along them
+    along = np.linspace(0, 1, 22)
+    x = np.concatenate([x0 + (x1 - x0) * along] * 2 + [np.full(22, x0), np.full(22, x1)])
+    y = np.concatenate([np.full(22, y0), np.full(22, y1)] + [y0 + (y1 - y0) * along] * 2)
+    lat, lon = crs.degrees(h["epsg"], x, y)
+    return float(lat.min()), float(lon.min()), float(lat.max()), float(lon.max())
 
 
 def _lzw(data: bytes) -> bytes:
@@ -132,41 +135,101 @@ def pixels(data: bytes) -> np.ndarray:
     return out[:, :h, :w]
 
 
-def encode(values: np.ndarray, left: float, top: float, px: float, py: float, epsg: int = 4326, nodata: float | None = None) -> bytes:
-    """A little-endian deflate GeoTIFF of (bands, height, width); NoData is recorded for float types only."""
+def encode(values: np.ndarray, left: float, top: float, px: float, py: float, epsg: int = 4326, nodata: float | None = None, deflate: bool = True) -> bytes:
+    """A little-endian GeoTIFF of (bands, height, width); NoData is recorded for float types only."""
     bands, height, width = values.shape
     kind = values.dtype
     rows = max(1, min(height, (1 << 18) // max(1, width * bands * kind.itemsize)))
-    parts = [zlib.compress(np.ascontiguousarray(values[:, y : y + rows].transpose(1, 2, 0)).astype(kind.newbyteorder("<")).tobytes()) for y in range(0, height, rows)]
-    geo = (1, 1, 0, 2, 1024, 0, 1, 1 if epsg == 3857 else 2, PROJECTED_KEY if epsg == 3857 else GEOGRAPHIC_KEY, 0, 1, epsg)
-    entries = {
-        WIDTH: ("I", (width,)), HEIGHT: ("I", (height,)), BITS: ("H", (kind.itemsize * 8,) * bands), COMPRESSION: ("H", (8,)), 262: ("H", (1,)),
-        SAMPLES: ("H", (bands,)), STRIP_ROWS: ("I", (rows,)), STRIP_BYTES: ("I", tuple(map(len, parts))), PLANAR: ("H", (1,)), FORMAT: ("H", ({"u": 1, "i": 2, "f": 3}[kind.kind],) * bands),
-        PIXEL_SCALE: ("d", (px, py, 0.0)), TIE_POINT: ("d", (0.0, 0.0, 0.0, left, top, 0.0)), GEO_KEYS: ("H", geo), STRIPS: ("I", (0,) * len(parts)),
+    raw = (np.ascontiguousarray(values[:, y : y + rows].transpose(1, 2, 0)).astype(kind.newbyteorder("<")).tobytes() for y in range(0, height, rows))
+    parts = [zlib.compress(x) if deflate else x for x in raw]
+    entries = _entries(width, height, bands, kind, left, top, px, py, epsg, nodata)
+    entries |= {COMPRESSION: ("H", (8 if deflate else 1,)), STRIP_ROWS: ("I", (rows,)), STRIP_BYTES: ("I", tuple(map(len, parts))), PLANAR: ("H", (1,)), STRIPS: ("I", (0,) * len(parts))}
+    start = 8 + len(_directory(entries, 8))
+    ends = np.cumsum([0, *map(len, parts)])
+    entries[STRIPS] = ("I", tuple(int(start + e) for e in ends[:-1]))
+    return struct.pack("<2sHI", b"II", 42, 8) + _directory(entries, 8) + b"".join(parts)
+
+
+def _entries(width: int, height: int, bands: int, kind: np.dtype, left: float, top: float, px: float, py: float, epsg: int, nodata: float | None) -> dict[int, tuple]:
+    """The tags that don't depend on how pixels are laid out."""
+    flat = epsg not in crs.DEGREES
+    geo = (1, 1, 0, 2, 1024, 0, 1, 1 if flat else 2, PROJECTED_KEY if flat else GEOGRAPHIC_KEY, 0, 1, epsg)
+    out = {
+        WIDTH: ("I", (width,)), HEIGHT: ("I", (height,)), BITS: ("H", (kind.itemsize * 8,) * bands), 262: ("H", (2 if bands >= 3 and kind == np.uint8 else 1,)), SAMPLES: ("H", (bands,)),
+        FORMAT: ("H", ({"u": 1, "i": 2, "f": 3}[kind.kind],) * bands), PIXEL_SCALE: ("d", (px, py, 0.0)), TIE_POINT: ("d", (0.0, 0.0, 0.0, left, top, 0.0)), GEO_KEYS: ("H", geo),
     }
     if kind.kind == "f" and nodata is not None:
-        text = f"{nodata:g}\0".encode()
-        entries[NODATA] = ("c", tuple(bytes([b]) for b in text))
-    codes = {v: k for k, v in _TYPES.items()}
+        out[NODATA] = ("c", tuple(bytes([b]) for b in f"{nodata:g}\0".encode()))
+    return out
 
-    def laid_out(offsets: tuple[int, ...]) -> bytes:
-        entries[STRIPS] = ("I", offsets)
-        body, extra = b"", b""
-        base = 8 + 2 + 12 * len(entries) + 4
-        for tag in sorted(entries):
-            code, numbers = entries[tag]
-            packed = struct.pack(f"<{len(numbers)}{code}", *numbers)
-            if len(packed) <= 4:
-                place = packed.ljust(4, b"\0")
-            else:
-                place = struct.pack("<I", base + len(extra))
-                extra += packed + b"\0" * (len(packed) % 2)
-            body += struct.pack("<HHI", tag, codes[code], len(numbers)) + place
-        return struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(entries)) + body + b"\0\0\0\0" + extra
-
-    start = len(laid_out((0,) * len(parts)))
-    ends = np.cumsum([0, *map(len, parts)])
-    return laid_out(tuple(int(start + e) for e in ends[:-1])) + b"".join(parts)
+
+def _directory(entries: dict[int, tuple], at: int) -> bytes:
+    """The image's directory and what doesn't fit into it, for a place ``at`` in the file."""
+    codes = {v: k for k, v in _TYPES.items()}
+    body, extra = b"", b""
+    base = at + 2 + 12 * len(entries) + 4
+    for tag in sorted(entries):
+        code, numbers = entries[tag]
+        packed = struct.pack(f"<{len(numbers)}{code}", *numbers)
+        if len(packed) <= 4:
+            place = packed.ljust(4, b"\0")
+        else:
+            place = struct.pack("<I", base + len(extra))
+            extra += packed + b"\0" * (len(packed) % 2)
+        body += struct.pack("<HHI", tag, codes[code], len(numbers)) + place
+    return struct.pack("<H", len(entries)) + body + b"\0\0\0\0" + extra
+
+
+class TiledFile:
+    """A tiled GeoTIFF, written aside tile by tile in any order and renamed when it is whole.
+
+    Tiles come deflated (``deflated``), bands apart.  The writer holds a place and a length for each
+    tile; what never comes is one shared empty tile.
+    """
+
+    def __init__(self, path: str, width: int, height: int, bands: int, dtype: str, left: float, top: float, px: float, py: float, epsg: int, empty: float, nodata: float | None = None, tile: int = 256):
+        self.path, self.tile, kind = path, tile, np.dtype(dtype)
+        self.across, self.down = -(-width // tile), -(-height // tile)
+        self.places, self.sizes = np.zeros((2, bands * self.across * self.down), np.int64)
+        self.entries = _entries(width, height, bands, kind, left, top, px, py, epsg, nodata)
+        self.empty = zlib.compress(np.full((tile, tile), empty, kind.newbyteorder("<")).tobytes())
+        self.aside = f"{path}.{os.getpid()}.tmp"
+        self.file = open(self.aside, "wb")  # noqa: SIM115  closed by __exit__
+        self.file.write(b"\0" * 8)
+
+    def __enter__(self) -> TiledFile:
+        return self
+
+    def add(self, band: int, y: int, x: int, content: bytes) -> None:
+        at = (band * self.down + y) * self.across + x
+        self.places[at], self.sizes[at] = self.file.tell(), len(content)
+        self.file.write(content)
+
+    def __exit__(self, kind, *_) -> None:
+        with self.file:
+            if kind is None:
+                missing = self.sizes == 0
+                self.places[missing], self.sizes[missing] = self.file.tell(), len(self.empty)
+                self.file.write(self.empty)
+                at = self.file.tell() + self.file.tell() % 2
+                if at >= 1 << 32:
+                    raise ValueError(f"{self.path}: more than the 4 GB that a TIFF holds")
+                tiles = {TILE_WIDTH: ("I", (self.tile,)), TILE_HEIGHT: ("I", (self.tile,)), TILES: ("I", tuple(self.places.tolist())), TILE_BYTES: ("I", tuple(self.sizes.tolist()))}
+                self.file.seek(at)
+                self.file.write(_directory(self.entries | tiles | {COMPRESSION: ("H", (8,)), PLANAR: ("H", (2,))}, at))
+                self.file.seek(0)
+                self.file.write(struct.pack("<2sHI", b"II", 42, at))
+        if kind is None:
+            os.replace(self.aside, self.path)
+        else:
+            os.remove(self.aside)
+
+
+def deflated(values: np.ndarray, dtype: str, empty: float, tile: int = 256) -> bytes:
+    """One band's tile, filled up with ``empty``."""
+    whole = np.full((tile, tile), empty, np.dtype(dtype).newbyteorder("<"))
+    whole[: values.shape[0], : values.shape[1]] = values
+    return zlib.compress(whole.tobytes())
 
 
 HEADER = "path string, width int, height int, bands int, dtype string, left double, top double, px double, py double, epsg int, nodata double, min_lat double, min_lon double, max_lat double, max_lon double"
@@ -180,8 +243,11 @@ def headers(files: DataFrame) -> DataFrame:
         for frame in frames:
             rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                h = header(content)
-                b = dict(zip(("min_lat", "min_lon", "max_lat", "max_lon"), world_bounds(h), strict=True))
+                try:
+                    h = header(content)
+                    b = dict(zip(("min_lat", "min_lon", "max_lat", "max_lon"), world_bounds(h), strict=True))
+                except ValueError as e:
+                    raise ValueError(f"{path}: {e}") from e
                 rows.append([{"path": path, **h, **b}[n] for n in names])
             yield pd.DataFrame(rows, columns=names)
 

@@ -19,3 +19,9 @@ def get(url, params, timeout):
     else:
         values = rng.integers(0, 255, (3, h, w), np.uint8)
     return remote.Response(200, "image/tiff", tiff.encode(values, x0, y1, (x1 - x0) / w, (y1 - y0) / h, 3857))
+
+
+def get_file(url, timeout):
+    if "E3" in url:
+        raise OSError("broken")
+    return ("named.zip" if "E2" in url else None), url.encode()

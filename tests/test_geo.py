@@ -1,9 +1,10 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.functions import geo, parse, predicates
+from gridloom.functions import crs, geo, parse, predicates
 from gridloom.functions.geo import num
 
 
@@ -82,3 +83,39 @@ def test_arguments():
     for wrong in ({"dimension": 0}, {"scale": 0.0}, {"scale": 1.5}, {"workers": 0}, {"axis": "up"}):
         with pytest.raises(ValueError):
             predicates.check_arguments(**wrong)
+
+
+@pytest.mark.parametrize("epsg", [32631, 32733, 26917, 25832, 5070, 3310, 3338, 2154, 3347, 3034, 3857])
+def test_projections_go_both_ways(epsg):
+    rng = np.random.default_rng(epsg)
+    center = {32631: (40, 3), 32733: (-30, 15), 26917: (35, -81), 25832: (50, 9), 5070: (38, -96), 3310: (37, -120), 3338: (62, -150), 2154: (46, 3), 3347: (55, -95), 3034: (50, 10), 3857: (20, 30)}[epsg]
+    lat, lon = center[0] + rng.uniform(-4, 4, 200), center[1] + rng.uniform(-3, 3, 200)
+    x, y = crs.projected(epsg, lat, lon)
+    back = crs.degrees(epsg, x, y)
+    assert np.allclose(back[0], lat, atol=1e-9) and np.allclose(back[1], lon, atol=1e-9)
+
+
+def test_projections_at_known_places():
+    x, y = crs.projected(32631, np.array([0.0, 45.0]), np.array([3.0, 3.0]))
+    assert np.allclose(x, 500_000) and np.allclose(y, [0, 4_982_950.400], atol=1e-2)  # the meridian's arc times 0.9996
+    assert np.allclose(crs.projected(32733, np.array([0.0]), np.array([15.0])), [[500_000], [10_000_000]])
+    assert np.allclose(crs.projected(5070, np.array([23.0]), np.array([-96.0])), 0, atol=1e-6)
+    assert np.allclose(crs.projected(2154, np.array([46.5]), np.array([3.0])), [[700_000], [6_600_000]], atol=1e-6)
+    with pytest.raises(ValueError, match="EPSG:2000 is not supported"):
+        crs.projection(2000)
+
+
+def test_cones_keep_areas_or_angles():
+    """Over a small cell: Albers keeps its area on the ellipsoid, Lambert the ratio of its sides."""
+    d, (a, f) = 1e-5, crs.GRS80
+    e2 = f * (2 - f)
+    for lat in (30.0, 47.0):
+        phi = np.radians(lat)
+        meridian, parallel = a * (1 - e2) / (1 - e2 * np.sin(phi) ** 2) ** 1.5, a * np.cos(phi) / np.sqrt(1 - e2 * np.sin(phi) ** 2)
+        for epsg, lon in ((5070, -90.0), (2154, 1.0)):
+            x, y = crs.projected(epsg, np.array([lat - d, lat + d, lat, lat]), np.array([lon, lon, lon - d, lon + d]))
+            north, east = np.array([x[1] - x[0], y[1] - y[0]]) / np.radians(2 * d), np.array([x[3] - x[2], y[3] - y[2]]) / np.radians(2 * d)
+            if epsg == 5070:
+                assert abs(east[0] * north[1] - east[1] * north[0]) == pytest.approx(meridian * parallel, rel=1e-6)
+            else:
+                assert np.hypot(*north) / meridian == pytest.approx(np.hypot(*east) / parallel, rel=1e-6) and abs(north @ east) < 1e-4 * meridian * parallel

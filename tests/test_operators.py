@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import chunks, coverage, grid, mosaic, ordering, polygon, pyramid, raster, services, spatial_join, windows
 from gridloom.operators.components import components
+from gridloom.plans import pipelines
 from gridloom.sources import manifest, remote, scan, scheme, tiff
 
 
@@ -78,7 +79,7 @@ def test_windows(spark):
 def test_levels(spark):
     tiles = spark.createDataFrame([(17, 1, 1), (18, 2, 2)], "level int, row long, col long")
     assert rows(windows.select_level(tiles)) == [(18, 2, 2)]
-    with pytest.raises(ValueError, match="No surviving tiles at LOD 99"):
+    with pytest.raises(ValueError, match="level 99 has no tiles"):
         windows.select_level(tiles, 99)
     levels = scheme.web_mercator_levels(spark, 0, 17)
     with pytest.raises(Exception, match="No level-of-detail declared for level 18"):
@@ -107,7 +108,7 @@ def test_service_choice(spark):
     with pytest.raises(services.AmbiguousServiceError) as e:
         services.select_service(aoi(1, 1, 2, 2), offered)
     assert e.value.candidates == ["a", "b"]
-    for box, index, text in (((30, 30, 31, 31), None, "not inside"), ((15, 15, 25, 25), None, "extends outside"), ((1, 1, 2, 2), 5, "out of range")):
+    for box, index, text in (((30, 30, 31, 31), None, "holds the area"), ((15, 15, 25, 25), None, "ends within the area"), ((1, 1, 2, 2), 5, "no candidate 5")):
         with pytest.raises(ValueError, match=text):
             services.select_service(aoi(*box), offered, index=index)
 
@@ -271,7 +272,7 @@ def test_gather_end_to_end(spark, tmp_path):
     assert raster.decode_png((out / "gathered_r0_c0.png").read_bytes())[0, [0, 4], 0].tolist() == [10, 20]
     doc = json.loads((out / "height_info.json").read_text())
     assert [i["name"] for i in doc["images"]] == ["gathered_r0_c0", "gathered_r0_c2"] and "elevation_files" not in doc
-    with pytest.raises(ValueError, match="No surviving tiles at LOD 99"):
+    with pytest.raises(ValueError, match="level 99 has no tiles"):
         pipelines.import_cache(spark, str(tmp_path / "cache"), str(tmp_path / "x"), level=99)
     # the output is a manifest folder: stitch and split it
     with warnings.catch_warnings():
@@ -310,7 +311,7 @@ def test_full_pass_downloads_missing_levels():
 
     def gather(level):
         if level not in have:
-            raise ValueError(f"No surviving tiles at LOD {level}")
+            raise windows.EmptyLevelError(level, [])
         return level
 
     assert full_pass(tiers(18), gather, download) == {17: 17, 18: 18} and loads == [18, 17]
@@ -398,3 +399,132 @@ def test_command_line(tmp_path, capsys):
     assert json.loads((tmp_path / "s.json").read_text())["center"]["x"] == 2.0
     assert cli.main([]) == 0 and "gather-ortho" in capsys.readouterr().out
     assert len(cli.parser()._subparsers._group_actions[0].choices) == 10
+
+
+def test_tiled_file(tmp_path):
+    values = np.arange(2 * 300 * 520, dtype=np.int16).reshape(2, 300, 520)
+    path = str(tmp_path / "t.tif")
+    with tiff.TiledFile(path, 520, 300, 2, "int16", 10.0, 50.0, 0.1, 0.2, 32617, -7) as out:
+        for band, y, x in ((1, 1, 2), (0, 0, 0), (0, 0, 1), (0, 0, 2), (0, 1, 0), (0, 1, 1), (0, 1, 2), (1, 0, 0), (1, 0, 1), (1, 0, 2), (1, 1, 0)):
+            out.add(band, y, x, tiff.deflated(values[band, y * 256 : y * 256 + 256, x * 256 : x * 256 + 256], "int16", -7))
+    data = open(path, "rb").read()
+    want = values.copy()
+    want[1, 256:, 256:512] = -7  # the tile that never came
+    head = tiff.header(data)
+    assert np.array_equal(tiff.pixels(data), want) and (head["epsg"], head["left"], head["py"], head["bands"]) == (32617, 10.0, 0.2, 2)
+    with pytest.raises(KeyError), tiff.TiledFile(path, 5, 5, 1, "uint8", 0, 0, 1, 1, 4326, 0):
+        raise KeyError
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["t.tif"]
+
+
+def test_elevation_in_utm(spark):
+    """A plane in UTM coordinates is the same plane after it was resampled to degrees."""
+    from gridloom.functions import crs
+
+    left, top, n = 400_000.0, 4_500_000.0, 400
+    xs, ys = left + (np.arange(n) + 0.5) * 30, top - (np.arange(n) + 0.5) * 30
+    plane = (xs[None, :] - left) * 0.01 + (top - ys[:, None]) * 0.02
+    lat, lon = crs.degrees(32617, np.linspace(left + 2000, left + 9000, 50), np.linspace(top - 9000, top - 2000, 50))
+    got = mosaic.resample(plane, left, top, 30, 30, 32617, lat, lon)
+    x, y = crs.projected(32617, lat, lon)
+    assert np.allclose(got, (x - left) * 0.01 + (top - y) * 0.02, atol=1e-6)
+    box = tiff.world_bounds({"left": left, "top": top, "width": n, "height": n, "px": 30, "py": 30, "epsg": 32617})
+    assert box[0] < lat.min() < lat.max() < box[2] and box[1] < lon.min() < lon.max() < box[3]
+
+
+def test_kernels():
+    image = np.add.outer(np.arange(40) * 3, np.arange(50) * 2).astype(np.uint8)[:, :, None]
+    u, v = np.linspace(10, 30, 21) + 0.5, np.linspace(5, 25, 21) + 0.5
+    for how in ("cubic", "lanczos"):
+        assert np.array_equal(pyramid._filtered(image, u, v, how)[:, :, 0], image[5:26, 10:31, 0])  # at the pixels themselves
+    half = pyramid._filtered(image, np.arange(1, 50, 2.0), np.arange(1, 40, 2.0), "average")
+    assert half.shape == (20, 25, 1) and abs(int(half[3, 4, 0]) - (6 * 3 + 8 * 2 + 2)) <= 1
+    flat = np.full((8, 8, 3), 77, np.uint8)
+    assert all((pyramid._filtered(flat, np.linspace(0, 8, 13), np.linspace(0, 8, 5), how) == 77).all() for how in pyramid.KERNELS)
+
+
+def test_mosaic_documents(spark, monkeypatch):
+    import xml.etree.ElementTree as ET
+
+    area = spark.createDataFrame([(0.0, 0.0, 600.0, 520.0, 1.0)], "xmin double, ymin double, xmax double, ymax double, pixel double")
+    plan = chunks.chunk_grid(area)
+    one = chunks.vrt_documents(plan, 3).collect()
+    assert [r["name"] for r in one] == ["mosaic.vrt"]
+    doc = ET.fromstring(one[0]["value"])
+    assert (doc.get("rasterXSize"), doc.get("rasterYSize")) == ("600", "520") and len(doc.findall("VRTRasterBand")) == 3
+    places = {s.find("SourceFilename").text: (int(s.find("DstRect").get("xOff")), int(s.find("DstRect").get("yOff")), int(s.find("SrcRect").get("xSize"))) for s in doc.find("VRTRasterBand")}
+    assert len(places) == 9 and places["chunk_2_1.tif"] == (512, 256, 88)
+    assert [float(x) for x in doc.find("GeoTransform").text.split(",")] == [0, 1, 0, 520, 0, -1]
+    monkeypatch.setattr(chunks, "FLAT", 4)
+    monkeypatch.setattr(chunks, "BATCH", 3)
+    several = {r["name"]: ET.fromstring(r["value"]) for r in chunks.vrt_documents(plan, 1, "float32").collect()}
+    assert sorted(several) == ["mosaic.vrt", "mosaic_0.vrt", "mosaic_1.vrt", "mosaic_2.vrt"]
+    assert [int(s.find("DstRect").get("yOff")) for s in several["mosaic.vrt"].find("VRTRasterBand")] == [0, 256, 512] and several["mosaic_2.vrt"].get("rasterYSize") == "8"
+
+
+def test_rolling_keeps_order_and_bound():
+    import threading
+
+    running, most, lock = 0, 0, threading.Lock()
+    taken = []
+
+    def work(i):
+        nonlocal running, most
+        with lock:
+            running += 1
+            most = max(most, running)
+        with lock:
+            running -= 1
+        return i
+
+    def items():
+        for i in range(100):
+            taken.append(i)
+            yield i
+
+    out = remote.rolling(work, items(), 3)
+    assert next(out) == 0 and len(taken) == 6
+    assert list(out) == list(range(1, 100)) and most <= 3
+
+
+def test_credentials(tmp_path, monkeypatch):
+    for k in ("CATALOGUE_USER", "CATALOGUE_TOKEN"):
+        monkeypatch.delenv(k, raising=False)
+    env = tmp_path / ".env"
+    env.write_text("# comment\nexport CATALOGUE_USER=me\nCATALOGUE_TOKEN='a=b'\nOTHER\n")
+    assert remote.credentials(str(env)) == ("me", "a=b")
+    monkeypatch.setenv("CATALOGUE_USER", "you")
+    assert remote.credentials(str(env)) == ("you", "a=b")
+    with pytest.raises(ValueError, match="CATALOGUE_TOKEN"):
+        remote.credentials(str(tmp_path / "none"))
+
+
+def test_scenes_end_to_end(spark, tmp_path):
+    """Search, thin out, ask, wait, download: the second of two equal scenes is left out, a broken file is reported."""
+    asked = []
+
+    def scene(i, west):
+        corners = [(n, lat, lon) for n, lat, lon in (("NW", 1, west), ("NE", 1, west + 1), ("SE", 0, west + 1), ("SW", 0, west))]
+        return {"entityId": f"E{i}", "metadata": [{"fieldName": f"{n} Corner {a} dec", "value": str(v)} for n, lat, lon in corners for a, v in (("Lat", lat), ("Long", lon))]}
+
+    def post(url, body, token, timeout):
+        what = url.rpartition("/")[2]
+        asked.append(what)
+        data = {
+            "login-token": "t", "logout": None,
+            "dataset-search": [{"datasetAlias": "roads", "keywords": "Roads"}, {"datasetAlias": "photos", "keywords": "Aerial, photo"}],
+            "scene-search": {"results": [scene(0, 0.0), scene(1, 0.0), scene(2, 5.0), scene(3, 9.0)]},
+            "download-options": [{"entityId": e, "id": "p", "available": True} for e in body.get("entityIds", [])],
+            "download-request": {"newRecords": {str(i): "x" for i in range(len(body.get("downloads", [])))}},
+            "download-retrieve": {"available": [{"downloadId": i, "entityId": e, "url": f"http://host/{e}.zip?x=1"} for i, e in enumerate(("E0", "E2", "E3"))]},
+        }[what]
+        return remote.Response(200, "application/json", json.dumps({"data": data}).encode())
+
+    client = remote.CatalogueClient("http://host/api", post)
+    client.login = ("me", "token")
+    with client:
+        got = pipelines.download_scenes(spark, client, 0.5, 0.5, 50.0, str(tmp_path / "out"), transport="tests.stub_service:get_file", sleep=lambda s: None)
+    rows_ = {r["entityId"]: r["file"] for r in got.collect()}
+    assert rows_ == {"E0": "E0.zip", "E2": "named.zip", "E3": None} and asked[0] == "login-token" and asked[-1] == "logout"
+    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == ["E0.json", "E0.zip", "named.json", "named.zip"]
+    assert json.loads((tmp_path / "out/named.json").read_text())["bounds"]["northWest"] == {"lat": 1.0, "lon": 5.0}
