@@ -46,6 +46,16 @@ def http_get(url: str, params: dict, timeout: float) -> Response:
         return Response(e.code, e.headers.get("Content-Type", ""), b"")
 
 
+def blank_get(url: str, params: dict, timeout: float) -> Response:
+    """A stand-in for a service without a network: every export is a blank image of the size asked for."""
+    import numpy as np
+
+    from gridloom.operators.raster import encode_png
+
+    w, h = map(int, params["size"].split(","))
+    return Response(200, "image/png", encode_png(np.zeros((h, w, 3), np.uint8)))
+
+
 def http_file(url: str, timeout: float) -> tuple[str | None, bytes]:
     """(the name that the server gives, the body) of a file."""
     from urllib.request import urlopen
