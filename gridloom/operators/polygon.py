@@ -1,7 +1,8 @@
 """Overlap of convex quadrilaterals that needn't be axis-aligned, such as scene footprints.
 
-Candidates come from the binned join of their envelopes; the shared area is the shoelace area
-of one ring clipped by the other's edges, for a whole Arrow batch of pairs at once.
+Candidates come from the binned join of their envelopes, without those whose envelopes already
+share too little; the shared area is the shoelace area of one ring clipped by the other's edges,
+in Arrow batches of the pairs left.
 """
 
 from __future__ import annotations
@@ -11,18 +12,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.predicates import Box
 from gridloom.operators.spatial_join import AXES, overlap_join
 
+#: Relative error of areas that a candidate is allowed.
+SLACK = 1e-6
+
 
 def ring_area(ring: Column) -> Column:
-    """Shoelace area of a closed ring of ``lat, lon`` points."""
+    """Shoelace area of a closed ring of ``lat, lon`` points, about its first one: small rings far from the origin keep their digits."""
     n = F.size(ring) - 1
-    cross = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(ring, i)["lon"] * F.get(ring, i + 1)["lat"] - F.get(ring, i + 1)["lon"] * F.get(ring, i)["lat"])
+    lon, lat = (lambda i, k=k: F.get(ring, i)[k] - F.get(ring, F.lit(0))[k] for k in ("lon", "lat"))
+    cross = F.transform(F.sequence(F.lit(0), n - 1), lambda i: lon(i) * lat(i + 1) - lon(i + 1) * lat(i))
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda a, x: a + x)) / 2
 
 
 def _area(points: np.ndarray) -> float:
-    x, y = points[:, 0], points[:, 1]
+    """Shoelace area, as ``ring_area``."""
+    x, y = (points - points[0]).T
     return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
 
 
@@ -60,6 +67,14 @@ def quad_pairs(quads: DataFrame, threshold: float = 0.3, size: float | None = No
     corners = F.slice("ring", 1, 4)
     flat = F.flatten(F.transform(corners, lambda p: F.array(p["lon"], p["lat"])))
     lon, lat = F.transform(corners, lambda p: p["lon"]), F.transform(corners, lambda p: p["lat"])
-    boxes = quads.select("id", flat.alias("quad"), F.array_min(lon).alias("x0"), F.array_min(lat).alias("y0"), F.array_max(lon).alias("x1"), F.array_max(lat).alias("y1"))
-    near = overlap_join(boxes.select("id", "quad", *AXES), boxes.select("id", "quad", *AXES), lambda a, b: F.col("l_id") < F.col("r_id"), size)
+    closed = F.concat(corners, F.slice("ring", 1, 1))
+    envelope = {"x0": F.array_min(lon), "y0": F.array_min(lat), "x1": F.array_max(lon), "y1": F.array_max(lat)}
+    boxes = quads.select("id", flat.alias("quad"), ring_area(closed).alias("size"), *(envelope[k].alias(k) for k in AXES))
+    least = F.least("l_size", "r_size") * F.lit(float(threshold) * (1 - SLACK))
+
+    def candidate(a: Box, b: Box) -> Column:
+        shared = (F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])) * (F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
+        return (F.col("l_id") < F.col("r_id")) & (shared >= least)
+
+    near = overlap_join(boxes, boxes, candidate, size)
     return near.select(F.col("l_id").alias("i"), F.col("r_id").alias("j"), F.pandas_udf(_ratios, "double")("l_quad", "r_quad").alias("ratio")).where(F.col("ratio") >= threshold)

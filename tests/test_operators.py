@@ -331,6 +331,17 @@ def test_quads(spark):
     assert closed.first()[0] == 2.0
 
 
+def test_small_quads_far_from_the_origin(spark):
+    """Areas keep their digits there, and pairs that share enough pass the check of envelopes."""
+    x, y, w = 179.0, 89.0, 2.0**-20
+    ring = lambda dx: [(y, x + dx), (y, x + dx + w), (y + w, x + dx + w), (y + w, x + dx)]
+    rows = [(k, [{"lat": float(a), "lon": float(b)} for a, b in ring(dx)]) for k, dx in enumerate((0.0, w / 2, w * 0.75))]
+    df = spark.createDataFrame(rows, "id long, ring array<struct<lat: double, lon: double>>")
+    assert {r[0] for r in df.select(polygon.ring_area(F.concat("ring", F.slice("ring", 1, 1)))).collect()} == {w * w}
+    found = polygon.quad_pairs(df, 0.5).orderBy("i", "j").collect()
+    assert [tuple(r) for r in found] == [(0, 1, 0.5), (1, 2, 0.75)]
+
+
 def test_pyramid(spark):
     span = pyramid.tile_span(1)
     image = lambda c: raster.encode_png(np.full((8, 8, 3), c, np.uint8))
