@@ -105,6 +105,30 @@ def refuse_overlaps(boxes: DataFrame, names: str = "name", threshold: float = 0.
         raise RuntimeError("overlapping tiles: " + "; ".join(f'"{r["a"]}" & "{r["b"]}" (ratio {r["ratio"]:.2f})' for r in found))
 
 
+def _connecting(boxes: DataFrame, pairs_of: Callable[[DataFrame], DataFrame], takes_part: Column) -> DataFrame:
+    """``i, j`` that connect what ``pairs_of(boxes)`` connects: of equal boxes the smallest id meets others, and the rest hang on it.
+
+    So n copies of a box make n - 1 pairs.  Boxes that fulfil ``takes_part`` must pair with their equals.
+    """
+    equal = boxes.where(takes_part).select("id", *AXES)
+    firsts = equal.groupBy(*AXES).agg(F.min("id").alias("id"), F.max("id").alias("__last"))
+    crowded = firsts.where(F.col("__last") > F.col("id")).select(*AXES, F.col("id").alias("i"))
+    hanging = equal.join(crowded, [*AXES]).where(F.col("id") > F.col("i")).select("i", F.col("id").alias("j"))
+    return pairs_of(firsts.select("id", *AXES)).select("i", "j").unionByName(hanging)
+
+
+def overlap_groups(boxes: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """``id, group`` of boxes that share ``threshold`` or more of the smaller one's area, over any number of steps."""
+    solid = (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")) & F.lit(threshold <= 1)
+    return groups(boxes, _connecting(boxes, lambda b: overlap_pairs(b, threshold), solid))
+
+
+def touching_groups(boxes: DataFrame) -> DataFrame:
+    """``id, group`` of boxes that overlap or touch, over any number of steps."""
+    proper = (F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1"))
+    return groups(boxes, _connecting(boxes, touching_pairs, proper))
+
+
 def groups(boxes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``id, group``: the smallest id reachable over ``pairs``; boxes without a pair are groups of their own."""
     linked = components(pairs.select(F.col("i").cast("long").alias("u"), F.col("j").cast("long").alias("v")))

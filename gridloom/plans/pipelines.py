@@ -203,7 +203,7 @@ def elevation_plan(headers: DataFrame, area: dict[str, float]) -> tuple[DataFram
     target = {"x0": num(area["min_lon"]), "y0": num(area["min_lat"]), "x1": num(area["max_lon"]), "y1": num(area["max_lat"])}
     near = boxes.where(overlaps_open({k: F.col(k) for k in target}, target)).withColumn("id", F.xxhash64("path"))
     near = stage(near, "elevation")
-    linked = spatial_join.groups(near, spatial_join.touching_pairs(near))
+    linked = spatial_join.touching_groups(near)
     grouped = near.join(linked, "id")
     aims = grouped.select("group").distinct().select("group", *(c.alias(k) for k, c in target.items()))
     return grouped, coverage.areas_covered(grouped.select("group", "x0", "y0", "x1", "y1"), aims, "group")
@@ -477,7 +477,7 @@ def scene_boxes(scenes: DataFrame) -> DataFrame:
 def scene_representatives(boxes: DataFrame, threshold: float = 0.9, criteria: str = "min_index") -> DataFrame:
     """One scene of each group that overlaps by ``threshold`` or more."""
     boxes = stage(boxes, "scenes")
-    grouped = spatial_join.groups(boxes, spatial_join.overlap_pairs(boxes, threshold))
+    grouped = spatial_join.overlap_groups(boxes, threshold)
     return spatial_join.representatives(boxes, grouped, criteria)
 
 

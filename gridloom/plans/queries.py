@@ -262,7 +262,7 @@ def region_touch_pairs(spark, sf_dir):
 
 def grouped_boxes(spark, sf_dir, threshold: float = 0.3) -> tuple[DataFrame, DataFrame]:
     boxes = d.boxes(spark, sf_dir)
-    return boxes, spatial_join.groups(boxes, spatial_join.overlap_pairs(boxes, threshold))
+    return boxes, spatial_join.overlap_groups(boxes, threshold)
 
 
 @query("overlap_components", f'WITH RECURSIVE {d.BOXES_SQL}, {_pairs_sql(0.3)}, {GROUPS_SQL} SELECT id, "group" FROM grouped')

@@ -9,11 +9,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 _written: dict[str, SparkSession] = {}
+_scratch: ContextVar[list[str] | None] = ContextVar("_scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,9 +36,37 @@ def claim(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the process ends."""
     path = f"{shared_dir(spark).rstrip('/')}/gridloom-stage/{uuid.uuid4().hex}-{name}"
     _written[path] = spark
+    if (scratch := _scratch.get()) is not None:
+        scratch.append(path)
     return path
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged inside are deleted at its end, but for those given to the function that it yields.
+
+    For work whose result is staged itself: what led to it has no reader left.  Without it tables stay
+    until the process ends, since results are lazy.
+    """
+    made: list[str] = []
+    kept: set[str] = set()
+
+    def keep(staged: DataFrame) -> DataFrame:
+        kept.add(staged._staged_path)
+        return staged
+
+    outer = _scratch.set(made)
+    try:
+        yield keep
+    finally:
+        _scratch.reset(outer)
+        if (around := _scratch.get()) is not None:
+            around.extend(p for p in made if p in kept)
+        for path in made:
+            if path not in kept and path in _written:
+                _delete(path, _written.pop(path))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return it read back."""
     spark = df.sparkSession

@@ -1,10 +1,12 @@
 import json
+import os
 import warnings
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import staging
 from gridloom.operators import chunks, coverage, grid, mosaic, ordering, polygon, pyramid, raster, services, spatial_join, windows
 from gridloom.operators.components import components
 from gridloom.plans import pipelines
@@ -40,6 +42,39 @@ def test_components_of_a_chain_and_a_star(spark):
     assert rows(components(spark.createDataFrame([], "u long, v long"))) == []
 
 
+def test_equal_boxes_hang_on_their_first(spark):
+    """Groups are those of all pairs, though of equal boxes only one meets others; ids may repeat."""
+    rng = np.random.default_rng(8)
+    spots = [(float(x), float(y), float(x + w), float(y + h)) for x, y, w, h in zip(*rng.uniform(0, 12, (2, 40)), *rng.uniform(0, 2, (2, 40)), strict=True)]
+    data = [(i, *spots[i * i % 40]) for i in range(150)]
+    data += [(200, 1.0, 1.0, 1.0, 4.0), (201, 1.0, 1.0, 1.0, 4.0), (202, 50.0, 50.0, 49.0, 51.0), (203, 50.0, 50.0, 49.0, 51.0), (204, None, 0.0, 1.0, 1.0), (205, None, 0.0, 1.0, 1.0), (206, 80.0, 80.0, 81.0, 81.0), (206, 90.0, 90.0, 91.0, 91.0), (207, 90.0, 90.0, 91.0, 91.0), (206, 80.0, 80.0, 81.0, 81.0)]
+    boxes = spark.createDataFrame(data, "id long, x0 double, y0 double, x1 double, y1 double")
+    for threshold in (0.3, 0.9, 1.0, 1.5):
+        assert rows(spatial_join.overlap_groups(boxes, threshold)) == rows(spatial_join.groups(boxes, spatial_join.overlap_pairs(boxes, threshold)))
+    assert rows(spatial_join.touching_groups(boxes)) == rows(spatial_join.groups(boxes, spatial_join.touching_pairs(boxes)))
+    same = spark.range(3000).selectExpr("id", "0d AS x0", "0d AS y0", "1d AS x1", "1d AS y1")
+    links = spatial_join._connecting(same, spatial_join.overlap_pairs, F.lit(True))
+    assert links.count() == 2999
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    def files(df):
+        return [f for f in df.inputFiles() if os.path.exists(f.removeprefix("file://").removeprefix("file:"))]
+
+    with staging.scratch() as keep:
+        with staging.scratch() as pass_on:
+            first = staging.stage(spark.range(3), "first")
+            second = pass_on(staging.stage(first.selectExpr("id + 1 AS id"), "second"))
+        assert not files(first) and files(second)
+        third = keep(staging.stage(second, "third"))
+    assert not files(second) and rows(third) == [(1,), (2,), (3,)]
+    with pytest.raises(KeyError), staging.scratch():
+        lost = staging.stage(spark.range(3), "lost")
+        raise KeyError
+    assert not files(lost)
+    staging.discard(third)
+
+
 def test_representatives(spark):
     boxes = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0), (2, 0.0, 0.0, 2.0, 2.0), (3, 0.0, 0.0, 2.0, 2.0)], "id long, x0 double, y0 double, x1 double, y1 double")
     grouped = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "id long, group long")
