@@ -3,7 +3,9 @@
 The last token of a prefix is the one vocabulary string that ends there and is right next to
 the last token of what is before it; the count is that prefix's count plus one.  So one pass
 over a pre-token gives the exact token count at each of its prefixes.  Pre-tokens repeat, so
-their tables are kept (a bounded cache), and a text's counts are sums over its pre-tokens.
+their totals are kept (a bounded cache), and a text's count is the sum over its pre-tokens.
+A total needs the counts of as many prefixes as a token is long, so unsplit text of any length
+takes no more memory than a word; long texts are cut into pre-tokens a slab at a time.
 ``PrefixCounts`` then answers how many tokens any prefix has, or where to cut for a budget,
 without encoding again.
 
@@ -15,6 +17,7 @@ named like the added columns.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +32,11 @@ from gridloom.llm.bpe import TreeEncoder, encoder, vocabulary
 
 LIMIT = 1024
 CACHED = 300_000  # pre-tokens, and pairs of tokens, that a worker keeps
+SLAB = 1 << 20  # characters that are cut into pre-tokens at once
 
 _WHITE = regex.compile(r"\s+")
+#: No pre-token runs over such a place, and what is cut on either side doesn't look beyond it.
+_APART = regex.compile(r"(?<=\S)[ \n]")
 
 
 @lru_cache(maxsize=4)
@@ -44,6 +50,7 @@ class TokenCounter:
 
         self.coder: TreeEncoder = encoder(path)
         self.length = {i: len(s) for i, s in self.coder.piece.items()}
+        self.kept = max(self.length.values()) + 1
         self.endings = ahocorasick.Automaton()
         for i, s in self.coder.piece.items():
             self.endings.add_word(s, i)
@@ -61,9 +68,24 @@ class TokenCounter:
             known = self.fits[a, b] = self.coder.bare.encode(piece[a] + piece[b], add_special_tokens=False).ids == [a, b]
         return known
 
-    def byte_table(self, mapped: str) -> list[int]:
+    def byte_total(self, mapped: str) -> int:
+        """Tokens of one pre-token; prefixes that are further back than a token is long are forgotten."""
+        kept = self.kept
+        count, last = [0] * kept, [-1] * kept
+        length, fits, at, done = self.length, self.right_together, 0, False
+        for end, token in self.endings.iter(mapped):  # of one end, longer strings come first
+            if end + 1 == at and done:
+                continue
+            at = end + 1
+            before = at - length[token]
+            done = before == 0 or fits(last[before % kept], token)
+            if done:
+                count[at % kept], last[at % kept] = count[before % kept] + 1, token
+        return count[at % kept]
+
+    def byte_table(self, mapped: str) -> array:
         """Tokens of every byte prefix of one pre-token."""
-        count, last = [0] * (len(mapped) + 1), [-1] * (len(mapped) + 1)
+        count, last = (array("i", [0]) * (len(mapped) + 1) for _ in range(2))
         length, fits, at, done = self.length, self.right_together, 0, False
         for end, token in self.endings.iter(mapped):  # of one end, longer strings come first
             if end + 1 == at and done:
@@ -75,17 +97,26 @@ class TokenCounter:
                 count[at], last[at] = count[before] + 1, token
         return count
 
-    def table(self, pretoken: str) -> list[int]:
+    def table(self, pretoken: str) -> np.ndarray:
         """Tokens of every prefix, by characters, of one pre-token."""
-        count = self.byte_table(self.coder.mapped(pretoken))
+        count = np.array(self.byte_table(self.coder.mapped(pretoken)))
         if len(count) == len(pretoken) + 1:
             return count
         ends = np.cumsum([0, *(len(c.encode()) for c in pretoken)])
-        return [count[e] for e in ends]
+        return count[ends]
+
+    def count(self, text: str, slab: int = SLAB) -> int:
+        total = self.totals.__getitem__
+        return sum(1 if special else sum(sum(map(total, self.coder.pretokens(s))) for s in slabs(part, slab)) for _, part, special in self.coder.parts(text))
+
 
-    def count(self, text: str) -> int:
-        totals = self.totals
-        return sum(1 if special else sum(map(totals.__getitem__, self.coder.pretokens(part))) for _, part, special in self.coder.parts(text))
+def slabs(text: str, slab: int = SLAB) -> Iterator[str]:
+    """The text in pieces that are cut into pre-tokens as the whole is; each ends at the first place after ``slab`` characters where that holds."""
+    at = 0
+    while len(text) - at > slab and (m := _APART.search(text, at + slab)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
 
 
 class _Totals(dict):
@@ -96,7 +127,7 @@ class _Totals(dict):
         self.counter = counter
 
     def __missing__(self, pretoken: str) -> int:
-        n = self.counter.byte_table(self.counter.coder.mapped(pretoken))[-1]
+        n = self.counter.byte_total(self.counter.coder.mapped(pretoken))
         if len(pretoken) <= 64:
             if len(self) >= CACHED:
                 self.clear()
@@ -144,16 +175,16 @@ def _prefix_counts(text: str, c: TokenCounter) -> np.ndarray:
         for pretoken in c.coder.pretokens(part):
             bases[at] = base
             counts = c.table(pretoken)
-            out[at + 1 : at + len(pretoken) + 1] = base + np.array(counts[1:])
+            out[at + 1 : at + len(pretoken) + 1] = base + counts[1:]
             if pretoken in ("'re", "'ve", "'ll"):
                 out[at + 2] = base + 2  # a contraction's first two characters are cut apart
-            base += counts[-1]
+            base += int(counts[-1])
             at += len(pretoken)
         sure, sure_base = start, bases.get(start, base)
         # a prefix that ends in white space has that whole run as one pre-token
         for m in _WHITE.finditer(part):
             run = start + m.start()
-            out[run + 1 : run + len(m[0]) + 1] = bases[run] + np.array(c.table(m[0])[1:])
+            out[run + 1 : run + len(m[0]) + 1] = bases[run] + c.table(m[0])[1:]
             sure, sure_base = run, bases[run]
     return out
 

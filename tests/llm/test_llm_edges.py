@@ -480,6 +480,30 @@ def test_long_unsplit_text(library):
     assert token_counts.counter(bpe.vocabulary()).count(text) == len(ids)
 
 
+@settings(max_examples=150, deadline=None)
+@given(TEXTS)
+def test_slabs_are_cut_as_the_whole(library, text):
+    want = len(library.encode(text, add_special_tokens=False).ids)
+    counter = token_counts.counter(bpe.vocabulary())
+    for slab in (1, 5, 1 << 20):
+        assert "".join(token_counts.slabs(text, slab)) == text
+        assert counter.count(text, slab) == want
+
+
+def test_a_total_keeps_no_table(library):
+    """Unsplit text costs the automaton's copy of it (four bytes a character), not a number for each prefix."""
+    import tracemalloc
+
+    counter = token_counts.counter(bpe.vocabulary())
+    text = "x" * 400_000
+    tracemalloc.start()
+    n = counter.byte_total(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == counter.byte_table(text)[-1] == len(library.encode(text, add_special_tokens=False).ids)
+    assert peak < 4 * len(text) + 100_000
+
+
 def test_token_counts(spark, odd, none, library):
     got = token_counts.token_counts(odd.withColumn("n_tokens", F.lit("mine"))).collect()
     for r in got:
