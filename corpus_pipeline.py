@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, mixing, near_dedup, quality_rules, toxicity
-from gridloom.staging import stage
+from gridloom.staging import scratch, stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -98,6 +98,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name.split()[0].lower())
+    with scratch() as keep:
+        for name, step in STAGES:
+            with scratch() as pass_on:  # a stage's own tables go as soon as its result is written
+                docs = pass_on(stage(step(spark, docs, sf_dir), name.split()[0].lower()))
+        keep(docs)
     return docs
