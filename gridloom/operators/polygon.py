@@ -2,18 +2,19 @@
 
 Candidates come from the binned join of their envelopes, without those whose envelopes already
 share too little; the shared area is the shoelace area of one ring clipped by the other's edges,
-in Arrow batches of the pairs left.
+for all pairs of an Arrow batch at once.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.predicates import Box
 from gridloom.operators.spatial_join import AXES, overlap_join
+from gridloom.staging import stage
 
 #: Relative error of areas that a candidate is allowed.
 SLACK = 1e-6
@@ -27,54 +28,83 @@ def ring_area(ring: Column) -> Column:
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda a, x: a + x)) / 2
 
 
-def _area(points: np.ndarray) -> float:
-    """Shoelace area, as ``ring_area``."""
-    x, y = (points - points[0]).T
-    return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
+def _areas(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Shoelace areas of (m, n) vertices of n polygons, as ``ring_area``."""
+    x, y = x - x[0], y - y[0]
+    return np.abs((x * np.roll(y, -1, axis=0)).sum(axis=0) - (y * np.roll(x, -1, axis=0)).sum(axis=0)) / 2
 
 
-def shared_area(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two convex polygons, (n, 2) vertices in order: ``a`` cut by each edge's half-plane of ``b``."""
-    x, y = b[:, 0], b[:, 1]
-    if x @ np.roll(y, -1) - y @ np.roll(x, -1) < 0:
-        b = b[::-1]
-    for start, end in zip(b, np.roll(b, -1, axis=0), strict=True):
-        if len(a) == 0:
-            return 0.0
-        edge = end - start
-        side = edge[0] * (a[:, 1] - start[1]) - edge[1] * (a[:, 0] - start[0])
-        kept = []
-        for p, q, sp, sq in zip(a, np.roll(a, -1, axis=0), side, np.roll(side, -1), strict=True):
-            if sp >= 0:
-                kept.append(p)
-            if sp * sq < 0:
-                kept.append(p + (q - p) * sp / (sp - sq))
-        a = np.array(kept).reshape(-1, 2)
-    return _area(a) if len(a) > 2 else 0.0
-
-
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+def _cut(x: np.ndarray, y: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of n polygons, (m, n) vertices, cut by the half-plane left of its own edge.
+
+    Polygons with fewer vertices than others repeat their first one, which changes no area; empty ones are NaN.
+    """
+    edge = end - start
+    side = edge[0] * (y - start[1]) - edge[1] * (x - start[0])
+    after = np.roll(side, -1, axis=0)
+    inside, crossed = side >= 0, side * after < 0
+    place = inside.cumsum(axis=0) + crossed.cumsum(axis=0)  # of what follows a vertex and its crossing
+    i, j = np.nonzero(inside)
+    ci, cj = np.nonzero(crossed)
+    at, c_at = (place - crossed - 1)[i, j], (place - 1)[ci, cj]
+    share, c_after = side[ci, cj], (ci + 1) % len(x)
+    span = share - side[c_after, cj]
     out = []
-    for p, q in zip(a, b, strict=True):
-        p, q = np.asarray(p, float).reshape(-1, 2), np.asarray(q, float).reshape(-1, 2)
-        smaller = min(_area(p), _area(q))
-        out.append(shared_area(p, q) / smaller if smaller > 0 else np.nan)
-    return pd.Series(out)
+    for k, v in enumerate((x, y)):
+        p = v[ci, cj]
+        met = p + (v[c_after, cj] - p) * share / span
+        met = np.where(edge[k, cj] == 0, start[k, cj], met)  # exactly on an edge that runs along the other axis
+        made = np.full((int(place.max(initial=1)), v.shape[1]), np.nan)
+        made[at, j] = v[i, j]
+        made[c_at, cj] = met
+        out.append(np.where(np.arange(len(made))[:, None] < place[-1], made, made[0]))
+    return out[0], out[1]
+
+
+def shared_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of n pairs of convex polygons, (n, m, 2) vertices in order: each of ``a`` cut by each edge's half-plane of its ``b``."""
+    (x, y), b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    clockwise = (b[0] * np.roll(b[1], -1, axis=0)).sum(axis=0) < (b[1] * np.roll(b[0], -1, axis=0)).sum(axis=0)
+    b = np.where(clockwise, b[:, ::-1], b)
+    for i in range(b.shape[1]):
+        x, y = _cut(x, y, b[:, i], b[:, (i + 1) % b.shape[1]])
+    areas = _areas(x, y)
+    return np.where(np.isnan(areas), 0.0, areas)
+
+
+def shared_area(a: np.ndarray, b: np.ndarray) -> float:
+    """Of one pair."""
+    return float(shared_areas(a[None], b[None])[0])
+
+
+def _vertices(quads: pa.ListArray) -> np.ndarray:
+    """(n, 4, 2); missing coordinates are NaN."""
+    return quads.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 4, 2)
+
+
+def _ratios(a: pa.Array, b: pa.Array) -> pa.Array:
+    p, q = _vertices(a), _vertices(b)
+    smaller = np.minimum(_areas(*p.T), _areas(*q.T))
+    solid = smaller > 0
+    return pa.array(np.where(solid, shared_areas(p, q) / np.where(solid, smaller, 1), np.nan), from_pandas=True)
 
 
 def quad_pairs(quads: DataFrame, threshold: float = 0.3, size: float | None = None) -> DataFrame:
     """``i, j, ratio`` of footprints (``id, ring`` of four ``lat, lon`` points, closed or not) that share ``threshold`` or more of the smaller one."""
-    corners = F.slice("ring", 1, 4)
-    flat = F.flatten(F.transform(corners, lambda p: F.array(p["lon"], p["lat"])))
-    lon, lat = F.transform(corners, lambda p: p["lon"]), F.transform(corners, lambda p: p["lat"])
-    closed = F.concat(corners, F.slice("ring", 1, 1))
-    envelope = {"x0": F.array_min(lon), "y0": F.array_min(lat), "x1": F.array_max(lon), "y1": F.array_max(lat)}
-    boxes = quads.select("id", flat.alias("quad"), ring_area(closed).alias("size"), *(envelope[k].alias(k) for k in AXES))
+    # plain expressions of four points: lambdas would build the ring anew for each value; three points repeat the first one
+    points = [F.when(F.size("ring") > i, F.get("ring", F.lit(i))).otherwise(F.get("ring", F.lit(0))) for i in range(4)]
+    lon, lat = [p["lon"] for p in points], [p["lat"] for p in points]
+    dx, dy = [v - lon[0] for v in lon], [v - lat[0] for v in lat]
+    shoelace = dx[1] * dy[2] - dx[2] * dy[1] + dx[2] * dy[3] - dx[3] * dy[2]  # terms with the first point are zero
+    envelope = {"x0": F.least(*lon), "y0": F.least(*lat), "x1": F.greatest(*lon), "y1": F.greatest(*lat)}
+    flat = F.array(*(v for p in zip(lon, lat, strict=True) for v in p))
+    boxes = stage(quads.select("id", flat.alias("quad"), (F.abs(shoelace) / 2).alias("size"), *(envelope[k].alias(k) for k in AXES)), "quads")
     least = F.least("l_size", "r_size") * F.lit(float(threshold) * (1 - SLACK))
 
     def candidate(a: Box, b: Box) -> Column:
         shared = (F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])) * (F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
         return (F.col("l_id") < F.col("r_id")) & (shared >= least)
 
-    near = overlap_join(boxes, boxes, candidate, size)
-    return near.select(F.col("l_id").alias("i"), F.col("r_id").alias("j"), F.pandas_udf(_ratios, "double")("l_quad", "r_quad").alias("ratio")).where(F.col("ratio") >= threshold)
+    # small tables of many pairs: a broadcast would leave them all to the tasks that read one file
+    near = overlap_join(boxes.hint("merge"), boxes, candidate, size)
+    return near.select(F.col("l_id").alias("i"), F.col("r_id").alias("j"), F.arrow_udf(_ratios, "double")("l_quad", "r_quad").alias("ratio")).where(F.col("ratio") >= threshold)

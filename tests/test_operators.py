@@ -1,5 +1,6 @@
 import json
 import os
+import time
 import warnings
 
 import numpy as np
@@ -377,6 +378,26 @@ def test_small_quads_far_from_the_origin(spark):
     assert [tuple(r) for r in found] == [(0, 1, 0.5), (1, 2, 0.75)]
 
 
+def test_many_quads_at_once(spark):
+    """Pairs are clipped by the batch, not one by one, and boxes give the ratio of plain box arithmetic to the last bit."""
+    rng = np.random.default_rng(3)
+    low = rng.integers(0, 300, (60_000, 2, 2)) / 100
+    high = low + rng.integers(50, 150, low.shape) / 100
+    (x0, y0), (x1, y1) = low.transpose(2, 1, 0), high.transpose(2, 1, 0)
+    a, b = (np.stack([[x0[k], y1[k]], [x1[k], y1[k]], [x1[k], y0[k]], [x0[k], y0[k]]]).transpose(2, 0, 1) for k in (0, 1))
+    started = time.process_time()
+    found = polygon.shared_areas(a, b)
+    assert time.process_time() - started < 6  # one by one: about 20
+    wide, tall = np.minimum(*x1) - np.maximum(*x0), np.minimum(*y1) - np.maximum(*y0)
+    assert (found == np.maximum(wide, 0) * np.maximum(tall, 0)).all()
+    # a slanted ring against the rest, turned either way; three points; what is missing pairs with none
+    slanted, triangle = [(0.0, 1.0), (1.0, 2.0), (2.0, 1.0), (1.0, 0.0)], [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0)]
+    rings = [slanted, [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)], slanted[::-1], triangle, [(0.0, None), *triangle]]
+    df = spark.createDataFrame([(i, [{"lat": y, "lon": x} for x, y in q]) for i, q in enumerate(rings)], "id long, ring array<struct<lat:double,lon:double>>")
+    pairs = {(r["i"], r["j"]): round(r["ratio"], 9) for r in polygon.quad_pairs(df).collect()}
+    assert pairs == {(0, 1): 1.0, (0, 2): 1.0, (0, 3): 0.5, (1, 2): 1.0, (1, 3): 1.0, (2, 3): 0.5}
+
+
 def test_pyramid(spark):
     span = pyramid.tile_span(1)
     image = lambda c: raster.encode_png(np.full((8, 8, 3), c, np.uint8))
