@@ -176,8 +176,12 @@ def split_axis(width: Column, height: Column) -> Column:
 
 
 def middle_latitude(north: Column, south: Column) -> Column:
-    """The latitude halfway between two others on the projected map."""
-    return latitude((mercator_y(north) + mercator_y(south)) / num(2))
+    """The latitude halfway between two others on the projected map; the plain midpoint where the map has no such latitude.
+
+    It ends short of the poles, and beyond them its formula has no value or, by its period, another latitude's.
+    """
+    on_map = (F.abs(north) < num(90)) & (F.abs(south) < num(90))
+    return F.when(on_map, latitude((mercator_y(north) + mercator_y(south)) / num(2))).otherwise((north + south) / num(2))
 
 
 def middle_longitude(west: Column, east: Column) -> Column:

@@ -41,6 +41,11 @@ def test_middle_latitude(spark):
     assert abs(one(spark, geo.middle_latitude(num(1), num(-1)))[0]) < 1e-12
 
 
+def test_middle_latitude_off_the_map(spark):
+    """At the poles and beyond, where the projection has no value or another latitude's."""
+    assert list(one(spark, *(geo.middle_latitude(num(n), num(n - 0.5)) for n in (-89.5, -90.0, -240.0, -300.0, 90.25)))) == [-89.75, -90.25, -240.25, -300.25, 90.0]
+
+
 def test_checked_coordinates(spark):
     assert one(spark, geo.checked_latitude(F.lit("39.2")))[0] == 39.2
     for wrong in ("91", "x"):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom import staging
+from gridloom.functions import geo
 from gridloom.operators import chunks, coverage, grid, mosaic, ordering, polygon, pyramid, raster, services, spatial_join, windows
 from gridloom.operators.components import components
 from gridloom.plans import pipelines
@@ -398,6 +399,13 @@ def test_many_quads_at_once(spark):
     assert pairs == {(0, 1): 1.0, (0, 2): 1.0, (0, 3): 0.5, (1, 2): 1.0, (1, 3): 1.0, (2, 3): 0.5}
 
 
+def test_tiles_beyond_the_pole_are_placed(spark):
+    """They were lost, and moved the southernmost row before them into its neighbour."""
+    df = spark.createDataFrame([(i, f"t{i}", -88.5 - i // 2 / 2 - (i // 8) * 200, float(i % 2)) for i in range(12)], "pos long, name string, n double, w double")
+    entries = df.select("pos", "name", geo.box_bounds(F.col("n"), F.col("n") - 0.5, F.col("w"), F.col("w") + 1).alias("bounds"))
+    assert rows(pipelines.placed_images(entries).select("r", "c", "name")) == sorted((i // 2, i % 2, f"t{i}") for i in range(12))
+
+
 def test_pyramid(spark):
     span = pyramid.tile_span(1)
     image = lambda c: raster.encode_png(np.full((8, 8, 3), c, np.uint8))
