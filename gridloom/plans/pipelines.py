@@ -123,9 +123,18 @@ def _gather_to(spark, tiles, scheme, output_dir, shape, dimension, scale, level,
 
 
 def placed_images(entries: DataFrame) -> DataFrame:
-    """Manifest entries on a grid: ``r, c, pos, name, bounds``, one a cell."""
-    b = F.col("bounds")
-    centers = entries.withColumns({"center_lat": b["center"]["lat"], "center_lon": b["center"]["lon"]})
+    """Manifest entries on a grid: ``r, c, pos, name, bounds``, one a cell.
+
+    An entry without a center counts by the midpoint of its corners; one without either is an error that names it.
+    """
+    e = extremes(F.col("bounds"))
+    place = {}
+    for k in ("lat", "lon"):
+        given = F.col("bounds")["center"][k]
+        between = (e[f"min_{k}"] + e[f"max_{k}"]) / num(2)
+        known = [F.when(~F.isnan(v), v) for v in (given, between)]
+        place[f"center_{k}"] = F.coalesce(*known, F.raise_error(F.concat(F.lit("no place for the image "), "name")).cast("double"))
+    centers = entries.withColumns(place)
     return grid.cells(grid.place(centers).drop("center_lat", "center_lon"))
 
 

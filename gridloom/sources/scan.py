@@ -20,18 +20,26 @@ def all_layers(cache_dir: str) -> str:
 
 def files(spark: SparkSession, folder: str, recursive: bool = True, missing_ok: bool = True) -> DataFrame:
     """``path, modificationTime, length, content`` of the files below a folder; none if it is missing."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    target = folder if recursive else f"{folder.rstrip('/')}/*"
     try:
-        found = reader.load(target)
-        # the pattern also matches folders, whose files aren't this folder's
-        return found if recursive else found.where(F.element_at(F.split("path", "/"), -2) == folder.rstrip("/").rpartition("/")[2])
+        # as one root: a pattern would make each file a root, listed by a task of its own
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        if recursive:
+            return found
+        above = _qualified(spark, folder).split("/")
+        parts = F.split("path", "/")
+        return found.where((F.size(parts) == len(above) + 1) & (F.element_at(parts, -2) == above[-1]))
     except AnalysisException as e:
         if missing_ok and "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], _FILES)
         raise
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as paths of its files name it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def is_png(cache_format: str) -> bool:
     return cache_format.strip().lower() == "png"
 

@@ -406,6 +406,17 @@ def test_tiles_beyond_the_pole_are_placed(spark):
     assert rows(pipelines.placed_images(entries).select("r", "c", "name")) == sorted((i // 2, i % 2, f"t{i}") for i in range(12))
 
 
+def test_entries_without_a_center_are_placed(spark):
+    df = spark.createDataFrame([(i, f"t{i}", 50.0 - i // 2, float(i % 2)) for i in range(6)], "pos long, name string, n double, w double")
+    bounds = geo.box_bounds(F.col("n"), F.col("n") - 1, F.col("w"), F.col("w") + 1)
+    gone = lambda when: F.when(~when, bounds["center"])
+    entries = df.select("pos", "name", bounds.withField("center", gone(F.col("pos") >= 4)).alias("bounds"))
+    assert rows(pipelines.placed_images(entries).select("r", "c", "name")) == [(i // 2, i % 2, f"t{i}") for i in range(6)]
+    bare = entries.withColumn("bounds", F.when(F.col("pos") != 5, F.col("bounds")))
+    with pytest.raises(Exception, match="no place for the image t5"):
+        pipelines.placed_images(bare).collect()
+
+
 def test_pyramid(spark):
     span = pyramid.tile_span(1)
     image = lambda c: raster.encode_png(np.full((8, 8, 3), c, np.uint8))

@@ -197,3 +197,11 @@ def test_process_terrain(spark, tmp_path):
     assert again[18].count() == out[18].count() and (tmp_path / "tiles").exists()
     with pytest.raises(Exception, match="finer than the native level"):
         pipelines.download_imagery(spark, 39.2, -82.2, 0.05, registry.withColumn("native_pixel_size_m", F.lit(100.0)), str(tmp_path / "x"), 18, **stub)
+
+
+def test_a_listing_leaves_out_folders_below(spark, tmp_path):
+    below = tmp_path / "flat" / "flat" / "flat"
+    below.mkdir(parents=True)
+    for at in (below, below.parent, below.parent.parent):
+        (at / f"f{len(at.parts) - len(tmp_path.parts)}.txt").write_text("x")
+    assert [r["path"].rsplit("/", 1)[-1] for r in scan.folder_files(spark, f"{tmp_path}/flat/").collect()] == ["f1.txt"]
